@@ -65,7 +65,7 @@ def _ratios() -> dict[str, Column]:
         "ratio_digits_to_letters": c("num_digits") / (c("_letters") + 1),
         "contains_phishing_keyword": X.flag(c("num_phishing_keywords") > 0),
         "brand_in_subdomain": c("_brand_sub") * (1 - c("contains_brand_name")),
-        "is_typosquat_candidate": X.flag(c("typosquat_distance").between(1, CANDIDATE_DISTANCE)),
+        "is_typosquat_candidate": X.flag(c("typosquat_distance").isin(*range(1, CANDIDATE_DISTANCE + 1))),
     }
 
 
@@ -78,9 +78,11 @@ def structural_features(df: DataFrame, col: str = "domain", popular: DataFrame |
     (``matched_keywords``, ``brand``, ``similar_domain``).
     """
     parts = split_domain(normalize_hosts(df, col), "host", suffixes)
-    parts = parts.withColumn("_words", F.when(F.col("subdomain") == "", F.col("sld"))
-                             .otherwise(F.concat_ws(".", "subdomain", "sld")))
-    wide = computed_once(parts, _measures(*[F.col(c) for c in ("host", "subdomain", "sld", "tld", "_words")]))
+    parts = computed_once(parts, {"_words": F.when(F.col("subdomain") == "", F.col("sld"))
+                                  .otherwise(F.concat_ws(".", "subdomain", "sld"))})
+    # Plain projections from here on: unused features are pruned and cheap
+    # filters (suffix, length) run before the costly measures.
+    wide = parts.withColumns(_measures(*[F.col(c) for c in ("host", "subdomain", "sld", "tld", "_words")]))
     wide = _with_distance(wide, popular).withColumns(_ratios())
     extra = []
     if context:
@@ -100,7 +102,7 @@ def _with_distance(df: DataFrame, popular: DataFrame | list | None) -> DataFrame
             return nearest_popular(df, names).withColumn(
                 "typosquat_distance", F.coalesce("typosquat_distance", F.lit(99)))
         names = small
-    return computed_once(df, {"_near": nearest_name(F.col("sld"), names_literal(names))}).withColumns({
+    return df.withColumn("_near", nearest_name(F.col("sld"), names_literal(names))).withColumns({
         "typosquat_distance": F.col("_near.d"), "similar_domain": F.col("_near.n")}).drop("_near")
 
 
