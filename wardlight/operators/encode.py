@@ -41,12 +41,11 @@ def apply_vocab(df: DataFrame, vocab: DataFrame, columns: list[str] = CATEGORICA
     for name in columns:
         mine = vocab.where(F.col("feature") == name).select(
             F.col("token").alias("_token"), F.col("code").alias("_code"))
-        fallback = unknown.where(F.col("feature") == name).agg(F.max("code").alias("_unknown"))
+        fallback = unknown.where(F.col("feature") == name).agg(F.max("code")).scalar()
         df = (df.withColumn("_key", category_token(F.col(name)))
               .join(broadcast_if_small(mine), F.col("_key") == F.col("_token"), "left")
-              .join(F.broadcast(fallback))  # one row
-              .withColumn(name, F.coalesce("_code", "_unknown"))
-              .drop("_key", "_token", "_code", "_unknown"))
+              .withColumn(name, F.coalesce(F.col("_code"), fallback))
+              .drop("_key", "_token", "_code"))
     return df
 
 
@@ -57,13 +56,12 @@ def hash_encoded(df: DataFrame, columns: list[str] = CATEGORICAL_FEATURES) -> Da
 def apply_mapping(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     """Plain (token, code) map: the token's code, else the code of ``unknown``,
     else the token's hash."""
-    fallback = mapping.where(F.col("token") == UNKNOWN).agg(F.max("code").alias("_unknown"))
+    fallback = mapping.where(F.col("token") == UNKNOWN).agg(F.max("code").cast("long")).scalar()
     pairs = mapping.select(F.col("token").alias("_token"), F.col("code").cast("long").alias("_code"))
     return (df.withColumn("_key", category_token(F.col(column)))
             .join(broadcast_if_small(pairs), F.col("_key") == F.col("_token"), "left")
-            .join(F.broadcast(fallback))  # one row
-            .withColumn(column, F.coalesce("_code", F.col("_unknown").cast("long"), hash_encode(F.col(column))))
-            .drop("_key", "_token", "_code", "_unknown"))
+            .withColumn(column, F.coalesce(F.col("_code"), fallback, hash_encode(F.col(column))))
+            .drop("_key", "_token", "_code"))
 
 
 def merge_vocab(first: DataFrame, train: DataFrame, columns: list[str] = CATEGORICAL_FEATURES) -> DataFrame:
@@ -92,6 +90,6 @@ def fit_scaler(df: DataFrame, columns: list[str] = CONTINUOUS_FEATURES) -> DataF
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str] = CONTINUOUS_FEATURES) -> DataFrame:
-    joined = df.join(F.broadcast(scaler))  # one row
-    scaled = {c: (F.col(c).cast("double") - F.col(f"{c}__mean")) / F.col(f"{c}__dev") for c in columns}
-    return joined.withColumns(scaled).drop(*scaler.columns)
+    stats = scaler.select(F.struct("*")).scalar()
+    return df.withColumns({
+        c: (F.col(c).cast("double") - stats[f"{c}__mean"]) / stats[f"{c}__dev"] for c in columns})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.plans import featuring, parsing  # noqa: F401
+from wardlight.plans import auditing, featuring, parsing  # noqa: F401
 from wardlight.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
