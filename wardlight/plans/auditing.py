@@ -397,7 +397,7 @@ def phase_delta(spark, sf):
   CASE WHEN greatest(score, 1 - score) >= 0.8 THEN 'high' WHEN greatest(score, 1 - score) >= 0.65 THEN 'medium' ELSE 'low' END AS confidence,
   CASE WHEN score <= 0.15 OR score >= 0.85 THEN 'high' WHEN score <= 0.35 OR score >= 0.65 THEN 'medium' ELSE 'low' END AS confidence_by_distance,
   CASE WHEN score >= 0.8 THEN 'alert' WHEN score >= 0.5 THEN 'caution' ELSE 'silent' END AS tier, score >= 0.5 AS notify,
-  CASE WHEN score >= 0.5 THEN 900 ELSE 3600 END AS ttl, round(least(greatest(score * 1.5 - 0.25, 0), 1), 4) AS clamped FROM scored"""))
+  CASE WHEN score >= 0.5 THEN 900 ELSE 3600 END AS ttl, round(least(greatest(score * 1.4 - 0.2, 0), 1), 4) AS clamped FROM scored"""))
 def score_bands(spark, sf):
     s = F.col("score")
     label = S.score_to_label(s)
@@ -405,4 +405,4 @@ def score_bands(spark, sf):
         "l_orderkey", "l_linenumber", label.alias("label"), S.score_to_confidence(s).alias("confidence"),
         S.score_to_confidence(s, "distance").alias("confidence_by_distance"), S.tier_for_score(s).alias("tier"),
         S.should_notify(s).alias("notify"), S.ttl_for_label(label).alias("ttl"),
-        F.round(S.clamp01(s * 1.5 - 0.25), 4).alias("clamped"))
+        F.round(S.clamp01(s * 1.4 - 0.2), 4).alias("clamped"))
