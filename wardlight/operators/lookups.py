@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wardlight.functions.hosts import match_key
 from wardlight.functions.scores import NETWORK_TTL_SECONDS, score_to_label, ttl_for_label
-from wardlight.operators.bounds import broadcast_if_small, time_bucket
+from wardlight.operators.bounds import broadcast_if_small
 
 
 def _active(known: DataFrame) -> DataFrame:
@@ -47,25 +47,33 @@ def known_verdict(df: DataFrame) -> DataFrame:
 def latest_before(lookups: DataFrame, obs: DataFrame, key: str, ts: str, obs_ts: str, tie: str,
                   payload: list[str], bucket_seconds: int = 3600) -> DataFrame:
     """As-of join: adds struct ``found`` (obs_ts, payload...), the newest
-    observation at or before the lookup, null if none.
+    observation at or before the lookup, null if none."""
+    return as_of_join(lookups, obs, key, F.unix_micros(ts), F.unix_micros(obs_ts), tie,
+                      [obs_ts, *payload], bucket_seconds * 1_000_000)
 
-    Both sides are merged and windowed per (key, time bucket); the observation
-    carried into a bucket comes from a per-bucket aggregate, so a key holding
-    a third of all rows is spread over its buckets.
+
+def as_of_join(lookups: DataFrame, obs: DataFrame, key: str, at: Column, obs_at: Column, tie: str,
+               payload: list[str], bucket_width: int) -> DataFrame:
+    """``latest_before`` over integer positions ``at`` / ``obs_at``.
+
+    Both sides are merged and windowed per (key, bucket of positions); the
+    observation carried into a bucket comes from a per-bucket aggregate, so a
+    key holding a third of all rows is spread over its buckets.
     """
-    left_cols, right_cols = F.struct(*lookups.columns), F.struct(obs_ts, *payload)
-    left = lookups.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(1).alias("_side"),
+    left_cols, right_cols = F.struct(*lookups.columns), F.struct(*payload)
+    left = lookups.select(F.col(key).alias("_k"), at.alias("_t"), F.lit(1).alias("_side"),
                           F.lit(None).cast("long").alias("_tie"), left_cols.alias("_l"))
-    right = obs.select(F.col(key).alias("_k"), F.col(obs_ts).alias("_t"), F.lit(0).alias("_side"),
+    right = obs.select(F.col(key).alias("_k"), obs_at.alias("_t"), F.lit(0).alias("_side"),
                        F.col(tie).cast("long").alias("_tie"), right_cols.alias("found"))
     merged = left.unionByName(right, allowMissingColumns=True).withColumn(
-        "_b", time_bucket(F.col("_t"), bucket_seconds))
-    newest = F.max_by("found", F.when(F.col("_side") == 0, F.struct("_t", "_tie")))
+        "_b", F.floor(F.col("_t") / F.lit(float(bucket_width))).cast("long"))
+    ours = F.when(F.col("_side") == 0, F.struct("_t", "_tie"))
+    newest = F.max_by(F.struct("_t", "found"), ours)
     edges = merged.groupBy("_k", "_b").agg(newest.alias("_e"), F.max("_side").alias("_asked"))
     before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (edges.withColumn("found", F.last("_e", ignorenulls=True).over(before))
-               .where((F.col("_asked") == 1) & F.col("found").isNotNull())
-               .select("_k", "_b", F.col("found")[obs_ts].alias("_t"), F.lit(-1).alias("_side"), "found"))
+    carried = (edges.withColumn("_c", F.last("_e", ignorenulls=True).over(before))
+               .where((F.col("_asked") == 1) & F.col("_c").isNotNull())
+               .select("_k", "_b", F.col("_c._t").alias("_t"), F.lit(-1).alias("_side"), F.col("_c.found").alias("found")))
     rows = merged.unionByName(carried, allowMissingColumns=True)
     upto = (Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_tie")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -1,0 +1,164 @@
+"""Replaying visits against the verdict cache.
+
+A visit is a miss when no verdict is cached or the cached one has expired;
+a miss stores its verdict for the label's lifetime and hits do not renew it.
+Whether a visit hits therefore depends on the previous miss of its domain.
+
+Most domains are small: they are sorted per domain and streamed through Arrow
+batches with the current expiry as the only state.  A domain above ``limit``
+visits is cut into time blocks that run in parallel:
+
+1. per block, where each possible entering state leads (``_exits``);
+2. which entry of a later block that is (as-of join);
+3. the entries really reached from the first visit, by pointer doubling:
+   about log2(blocks) joins of the entry table;
+4. every block is then replayed from its known entry.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from wardlight.functions.scores import TTL_SECONDS, ttl_for_label
+from wardlight.operators.bounds import broadcast_if_small
+from wardlight.operators.lookups import as_of_join
+from wardlight.session import checkpoint
+
+HOUR = 3_600_000_000
+LONGEST = max(TTL_SECONDS.values()) * 1_000_000
+# Block widths tried for a large domain, widest first; none below the longest lifetime.
+BLOCK_HOURS = (720, 168, 24, 6, 2)
+DOMAIN_LIMIT = 5_000_000
+COLD, NEVER = -(1 << 62), 1 << 62
+
+
+def visit_sessions(visits: DataFrame, gap_seconds: int = TTL_SECONDS["safe"], key: str = "domain",
+                   ts: str = "ts") -> DataFrame:
+    """Sessions per key separated by gaps of at least ``gap_seconds``.
+
+    Visits inside one gap-wide slot can never be split, so slots are
+    aggregated first; the windows then see at most one row per slot.
+    """
+    gap = gap_seconds * 1_000_000
+    t = F.unix_micros(ts)
+    slots = visits.groupBy(key, F.floor(t / F.lit(float(gap))).alias("_slot")).agg(
+        F.min(t).alias("_first"), F.max(t).alias("_last"), F.count("*").alias("_n"))
+    order = Window.partitionBy(key).orderBy("_slot")
+    starts = slots.withColumn("_new", (F.coalesce(F.col("_first") - F.lag("_last").over(order), F.lit(gap)) >= gap).cast("int"))
+    numbered = starts.withColumn("session", F.sum("_new").over(order))
+    return numbered.groupBy(key, "session").agg(
+        F.timestamp_micros(F.min("_first")).alias("started_at"),
+        F.timestamp_micros(F.max("_last")).alias("ended_at"), F.sum("_n").alias("visits"))
+
+
+def large_domains(visits: DataFrame, key: str, limit: int, hours=BLOCK_HOURS) -> DataFrame | None:
+    """(key, _width) for keys above ``limit``, or None when there are none."""
+    hourly = visits.groupBy(key, F.floor(F.col("_t") / F.lit(float(HOUR))).alias("_h")).agg(F.count("*").alias("_n"))
+    keys = hourly.groupBy(key).agg(F.sum("_n").alias("_all")).where(F.col("_all") > limit).select(key)
+    if keys.isEmpty():
+        return None
+    mine = hourly.join(broadcast_if_small(keys), key, "left_semi")
+    widths = None
+    for h in hours:
+        peak = (mine.groupBy(key, F.floor(F.col("_h") / F.lit(h))).agg(F.sum("_n").alias("_n"))
+                .groupBy(key).agg(F.max("_n").alias("_peak")))
+        fits = F.col("_peak") <= limit if h != hours[-1] else F.lit(True)
+        level = peak.where(fits).select(key, F.lit(h * HOUR).alias("_width"))
+        widths = level if widths is None else widths.unionByName(level)
+    return widths.groupBy(key).agg(F.max("_width").alias("_width"))
+
+
+def cache_replay(visits: DataFrame, key: str = "domain", ts: str = "ts", tie: str = "event_id",
+                 label: str = "label", limit: int = DOMAIN_LIMIT, hours=BLOCK_HOURS) -> DataFrame:
+    """Input rows plus ``hit``."""
+    work = visits.withColumns({
+        "_t": F.unix_micros(ts), "_ttl": ttl_for_label(F.col(label)).cast("long") * 1_000_000})
+    large = large_domains(work, key, limit, hours)
+    cold = {"_blk": F.lit(0).cast("long"), "_from": F.lit(COLD).cast("long")}
+    if large is None:
+        rows = work.withColumns(cold)
+    else:
+        large = broadcast_if_small(checkpoint(large))
+        blocks = work.join(large, key).withColumn("_blk", F.floor(F.col("_t") / F.col("_width")).cast("long"))
+        entries = _entries(blocks, key, tie)
+        hot = blocks.drop("_width").join(entries, [key, "_blk"], "left").withColumn(
+            "_from", F.coalesce("_from", F.lit(NEVER)))
+        rows = work.join(large.select(key), key, "left_anti").withColumns(cold).unionByName(hot)
+    ordered = rows.repartition(key, "_blk").sortWithinPartitions(key, "_blk", "_t", tie)
+    schema = T.StructType([*visits.schema.fields, T.StructField("hit", T.BooleanType())])
+    return ordered.mapInPandas(_replayer(key, visits.columns), schema)
+
+
+def _replayer(key: str, columns: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, expiry = None, COLD
+        for pdf in batches:
+            n = len(pdf)
+            if not n:
+                continue
+            t, ttl, start = (pdf[c].to_numpy() for c in ("_t", "_ttl", "_from"))
+            names, blk = pdf[key].to_numpy(), pdf["_blk"].to_numpy()
+            cuts = np.flatnonzero((names[1:] != names[:-1]) | (blk[1:] != blk[:-1])) + 1
+            hit = np.ones(n, dtype=bool)
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, n]):
+                if (names[lo], blk[lo]) != group:
+                    group, expiry = (names[lo], blk[lo]), start[lo]
+                i = lo + np.searchsorted(t[lo:hi], expiry)
+                while i < hi:
+                    hit[i] = False
+                    expiry = t[i] + ttl[i]
+                    i += np.searchsorted(t[i:hi], expiry)
+            yield pdf[columns].assign(hit=hit)
+
+    return run
+
+
+def _exits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For one block: each possible entry visit and the expiry it leads to."""
+    pdf = pdf.sort_values(["_t", "_o"]).drop_duplicates("_t")
+    t, ttl = pdf["_t"].to_numpy(), pdf["_ttl"].to_numpy()
+    n = len(t)
+    jump = np.r_[np.searchsorted(t, t + ttl), n]
+    last = np.r_[np.arange(n), n]
+    while (jump[:n] < n).any():
+        live = np.flatnonzero(jump < n)
+        last[live], jump[live] = last[jump[live]], jump[jump[live]]
+    start = pdf["_blk"].iloc[0] * pdf["_width"].iloc[0]
+    # An entering verdict expires within LONGEST of the block start, so the
+    # first miss is one of these visits.
+    keep = np.arange(n) <= np.searchsorted(t, start + LONGEST)
+    out = last[:n][keep]
+    return pd.DataFrame({"_k": pdf["_k"].iloc[0], "_blk": pdf["_blk"].iloc[0],
+                         "_entry": t[keep], "_exit": t[out] + ttl[out]})
+
+
+def _entries(blocks: DataFrame, key: str, tie: str) -> DataFrame:
+    """(key, _blk, _from): the first visit of a block the cache really misses."""
+    kind = blocks.schema[key].dataType.simpleString()
+    slim = blocks.select(F.col(key).alias("_k"), "_blk", "_width", "_t", "_ttl", F.col(tie).alias("_o"))
+    exits = checkpoint(slim.groupBy("_k", "_blk").applyInPandas(
+        _exits, f"_k {kind}, _blk long, _entry long, _exit long"))
+    # The next entry at or after the expiry: an as-of join with time reversed.
+    linked = as_of_join(exits, exits, "_k", -F.col("_exit"), -F.col("_entry"), "_entry", ["_entry"], HOUR)
+    jump = checkpoint(linked.select("_k", "_entry", F.col("found._entry").alias("_next")).where("_next IS NOT NULL"))
+    levels = [jump]
+    while True:
+        a, b = levels[-1].alias("a"), levels[-1].alias("b")
+        on = (F.col("a._k") == F.col("b._k")) & (F.col("a._next") == F.col("b._entry"))
+        twice = checkpoint(a.join(b, on).select("a._k", "a._entry", "b._next"))
+        if twice.isEmpty():
+            break
+        levels.append(twice)
+    reached = exits.groupBy("_k").agg(F.min("_entry").alias("_entry"))
+    for level in reversed(levels):
+        ahead = reached.join(level, ["_k", "_entry"]).select("_k", F.col("_next").alias("_entry"))
+        reached = checkpoint(reached.unionByName(ahead))
+    return (reached.join(exits.select("_k", "_entry", "_blk"), ["_k", "_entry"])
+            .groupBy(F.col("_k").alias(key), "_blk").agg(F.min("_entry").alias("_from")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardlight.plans import auditing, featuring, parsing, scoring  # noqa: F401
+from wardlight.plans import auditing, featuring, parsing, scoring, visiting  # noqa: F401
 from wardlight.plans.registry import ORACLES, QUERIES
 from wardlight.plans.scoring import flagship
 
