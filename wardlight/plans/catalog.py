@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wardlight.plans import auditing, featuring, parsing, scoring, visiting  # noqa: F401
+from wardlight.plans import (  # noqa: F401
+    auditing, featuring, learning, parsing, scoring, visiting)
 from wardlight.plans.registry import ORACLES, QUERIES
 from wardlight.plans.scoring import flagship
 
