@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,16 +37,22 @@ def distinct_characters(col: Column) -> Column:
     return F.array_distinct(characters(col))
 
 
+# c * log2(c) for the character counts that occur in names.
+_WEIGHTED = [0.0 if c < 2 else c * math.log2(c) for c in range(64)]
+
+
 def shannon_entropy(col: Column) -> Column:
-    """Bits per character; 0 for empty text."""
-    n = F.length(col).cast("double")
+    """Bits per character: log2(n) - sum(c * log2 c) / n; 0 for empty text."""
+    n = F.length(col)
+    table = F.array(*[F.lit(w) for w in _WEIGHTED])
 
-    def share(c: Column) -> Column:
-        return (F.length(col) - F.length(F.replace(col, c, F.lit("")))) / n
+    def weighted(char: Column) -> Column:
+        c = n - F.length(F.replace(col, char, F.lit("")))
+        return F.coalesce(F.get(table, c), c * F.log2(c.cast("double")))
 
-    terms = F.transform(distinct_characters(col), lambda c: share(c) * F.log2(share(c)))
-    bits = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc - t)
-    return F.when(bits > 0, bits).otherwise(F.lit(0.0))
+    total = F.aggregate(F.array_distinct(F.split(col, "")), F.lit(0.0), lambda acc, ch: acc + weighted(ch))
+    bits = F.log2(n.cast("double")) - total / n
+    return F.when((n > 1) & (bits > 0), bits).otherwise(F.lit(0.0))
 
 
 def longest_run(col: Column, char_class: str) -> Column:
@@ -54,25 +60,29 @@ def longest_run(col: Column, char_class: str) -> Column:
     return F.aggregate(runs, F.lit(0), lambda acc, r: F.greatest(acc, F.length(r)))
 
 
+def _pool(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
 def contains_any(col: Column, words: list[str]) -> Column:
-    """True if any word occurs; unrolled so it stays inside codegen."""
-    return reduce(lambda a, b: a | b, (col.contains(w) for w in words))
+    """True if any word occurs.  A constant array keeps the generated code
+    small; unrolled tests would push the whole stage out of codegen."""
+    return F.exists(_pool(words), lambda w: F.contains(col, w))
 
 
 def count_contained(col: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, (col.contains(w).cast("int") for w in words))
+    return F.size(F.filter(_pool(words), lambda w: F.contains(col, w)))
 
 
 def contained_words(col: Column, words: list[str]) -> Column:
     """The words that occur, alphabetically."""
-    pool = F.array(*[F.lit(w) for w in sorted(words)])
-    return F.filter(pool, lambda w: F.contains(col, w))
+    return F.filter(_pool(sorted(words)), lambda w: F.contains(col, w))
 
 
 def longest_contained(col: Column, words: list[str]) -> Column:
     """The longest word that occurs (ties alphabetical), or null."""
-    pool = F.array(*[F.lit(w) for w in sorted(words, key=lambda w: (-len(w), w))])
-    return F.get(F.filter(pool, lambda w: F.contains(col, w)), F.lit(0))
+    longest = _pool(sorted(words, key=lambda w: (-len(w), w)))
+    return F.get(F.filter(longest, lambda w: F.contains(col, w)), F.lit(0))
 
 
 def flag(condition: Column) -> Column:

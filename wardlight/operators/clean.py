@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.scores import hash_encode
 from wardlight.functions.text import strip
+from wardlight.operators.bounds import computed_once
 
 
 def _prepared(df: DataFrame) -> DataFrame:
     """Trimmed domain, numeric label and the rule (if any) that drops the row."""
     number = strip(F.col("label").cast("string")).try_cast("double")
-    work = df.withColumns({"domain": F.lower(strip(F.col("domain"))), "_number": number})
+    work = computed_once(df, {"domain": F.lower(strip(F.col("domain"))), "_number": number})
     # Truncation precedes the range test, so 0.5 counts as 0.
     fits = F.abs(F.col("_number")) < 2147483648.0
-    work = work.withColumn("_label", F.when(fits, F.when(
-        F.col("_number") < 0, F.ceil("_number")).otherwise(F.floor("_number")).cast("int")))
+    whole = F.when(F.col("_number") < 0, F.ceil("_number")).otherwise(F.floor("_number"))
+    work = computed_once(work, {"_label": F.when(fits, whole.cast("int"))})
     missing = F.col("_number").isNull() | F.isnan("_number")
     rule = (F.when(F.coalesce(F.col("domain"), F.lit("")) == "", "empty_domain")
             .when(missing, "non_numeric_label")

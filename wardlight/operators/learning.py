@@ -149,26 +149,34 @@ def _synthesizer(columns, key, continuous, categorical, k, penalty, seed):
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         x = pdf[continuous].to_numpy(dtype=float)
-        cats = [pd.factorize(pdf[c])[0] for c in categorical]
-        squares = (x ** 2).sum(1)
-        out = []
-        for i in np.flatnonzero(pdf["_copies"].to_numpy() > 0):
+        coded = {c: pd.factorize(pdf[c], sort=True) for c in categorical}
+        squares, copies = (x ** 2).sum(1), pdf["_copies"].to_numpy()
+        base, other, step = [], [], []
+        modes: dict[str, list] = {c: [] for c in categorical}
+        for i in np.flatnonzero(copies > 0):
             gap = squares + squares[i] - 2 * x @ x[i]
-            for codes in cats:
+            for codes, _ in coded.values():
                 gap = gap + penalty * (codes != codes[i])
             gap[i] = np.inf
             near = np.argsort(gap, kind="stable")[:min(k, len(pdf) - 1)]
+            near = near if len(near) else np.array([i])
             rng = np.random.default_rng([seed, zlib.crc32(str(pdf[key][i]).encode())])
-            for j in range(pdf["_copies"][i]):
-                row = pdf.loc[i, columns].copy()
-                if len(near):
-                    row[continuous] = x[i] + rng.random() * (x[rng.choice(near)] - x[i])
-                    for c in categorical:
-                        row[c] = pdf[c].iloc[near].mode().iloc[0]
-                if isinstance(row[key], str):
-                    row[key] = f"{row[key]}#{j}"
-                out.append(row)
-        return pd.DataFrame(out, columns=columns)
+            n = copies[i]
+            base.append(np.full(n, i))
+            other.append(rng.choice(near, n))
+            step.append(rng.random(n))
+            for c, (codes, _) in coded.items():
+                modes[c].append(np.full(n, np.bincount(codes[near]).argmax()))
+        if not base:
+            return pd.DataFrame(columns=columns)
+        i, j, u = np.concatenate(base), np.concatenate(other), np.concatenate(step)
+        out = pdf.loc[i, columns].reset_index(drop=True)
+        out[continuous] = x[i] + u[:, None] * (x[j] - x[i])
+        for c, (_, values) in coded.items():
+            out[c] = np.asarray(values)[np.concatenate(modes[c])]
+        number = pd.Series(i).groupby(i).cumcount().astype(str)
+        out[key] = pdf[key].astype(str).to_numpy()[i] + "#" + number if pdf[key].dtype == object else out[key]
+        return out
 
     return make
 

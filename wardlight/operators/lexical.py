@@ -11,7 +11,7 @@ from wardlight.lexicon import PHISHING_KEYWORDS, SUSPICIOUS_TLDS, TOP_BRANDS
 from wardlight.operators.bounds import computed_once, literal_values
 from wardlight.operators.parse import normalize_hosts, split_domain
 from wardlight.operators.typosquat import (
-    CANDIDATE_DISTANCE, names_literal, nearest_name, nearest_popular)
+    CANDIDATE_DISTANCE, least_distance, names_literal, nearest_name, nearest_popular)
 from wardlight.schemas import STRUCTURAL_FEATURES
 
 DIGITS = "0123456789"
@@ -102,8 +102,9 @@ def _with_distance(df: DataFrame, popular: DataFrame | list | None) -> DataFrame
             return nearest_popular(df, names).withColumn(
                 "typosquat_distance", F.coalesce("typosquat_distance", F.lit(99)))
         names = small
-    return df.withColumn("_near", nearest_name(F.col("sld"), names_literal(names))).withColumns({
-        "typosquat_distance": F.col("_near.d"), "similar_domain": F.col("_near.n")}).drop("_near")
+    pool, sld = names_literal(names), F.col("sld")
+    return df.withColumns({"typosquat_distance": least_distance(sld, pool),
+                           "similar_domain": nearest_name(sld, pool)["n"]})
 
 
 def structural_values(df: DataFrame, key: list[str]) -> DataFrame:
