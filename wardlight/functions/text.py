@@ -38,13 +38,13 @@ def distinct_characters(col: Column) -> Column:
 
 
 # c * log2(c) for the character counts that occur in names.
-_WEIGHTED = [0.0 if c < 2 else c * math.log2(c) for c in range(64)]
+_WEIGHT_TABLE = "array(" + ", ".join(f"{0.0 if c < 2 else c * math.log2(c)!r}D" for c in range(64)) + ")"
 
 
 def shannon_entropy(col: Column) -> Column:
     """Bits per character: log2(n) - sum(c * log2 c) / n; 0 for empty text."""
     n = F.length(col)
-    table = F.array(*[F.lit(w) for w in _WEIGHTED])
+    table = F.expr(_WEIGHT_TABLE)
 
     def weighted(char: Column) -> Column:
         c = n - F.length(F.replace(col, char, F.lit("")))
@@ -60,28 +60,29 @@ def longest_run(col: Column, char_class: str) -> Column:
     return F.aggregate(runs, F.lit(0), lambda acc, r: F.greatest(acc, F.length(r)))
 
 
-def _pool(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def constant_words(words: list[str]) -> Column:
+    """A constant array, folded by the optimizer (one literal to build)."""
+    return F.split(F.lit("|".join(words)), r"\|")
 
 
 def contains_any(col: Column, words: list[str]) -> Column:
     """True if any word occurs.  A constant array keeps the generated code
     small; unrolled tests would push the whole stage out of codegen."""
-    return F.exists(_pool(words), lambda w: F.contains(col, w))
+    return F.exists(constant_words(words), lambda w: F.contains(col, w))
 
 
 def count_contained(col: Column, words: list[str]) -> Column:
-    return F.size(F.filter(_pool(words), lambda w: F.contains(col, w)))
+    return F.size(F.filter(constant_words(words), lambda w: F.contains(col, w)))
 
 
 def contained_words(col: Column, words: list[str]) -> Column:
     """The words that occur, alphabetically."""
-    return F.filter(_pool(sorted(words)), lambda w: F.contains(col, w))
+    return F.filter(constant_words(sorted(words)), lambda w: F.contains(col, w))
 
 
 def longest_contained(col: Column, words: list[str]) -> Column:
     """The longest word that occurs (ties alphabetical), or null."""
-    longest = _pool(sorted(words, key=lambda w: (-len(w), w)))
+    longest = constant_words(sorted(words, key=lambda w: (-len(w), w)))
     return F.get(F.filter(longest, lambda w: F.contains(col, w)), F.lit(0))
 
 

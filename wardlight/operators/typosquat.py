@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.functions.text import constant_words
 from wardlight.operators.bounds import LITERAL_ROWS, literal_values
 
 EMPTY_DISTANCE = 99
@@ -31,7 +32,7 @@ def nearest_name(sld: Column, names: Column) -> Column:
 
 
 def names_literal(names: list[str]) -> Column:
-    return F.array(*[F.lit(n) for n in sorted(set(names))])
+    return constant_words(sorted(set(names)))
 
 
 def nearest_popular(df: DataFrame, popular: DataFrame, sld_col: str = "sld",

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import ensembles as N
 from wardlight.operators import explain as X
-from wardlight.operators.assemble import features_array
+from wardlight.operators import hooks as K
+from wardlight.operators.assemble import assemble, features_array
 from wardlight.operators.lexical import structural_features
+from wardlight.operators.lookups import known_lookup, known_verdict, route_verdicts
 from wardlight.plans import ducktext as D
-from wardlight.plans.featuring import _ASSET_CTES, _INPUTS, _NET, assembled
+from wardlight.plans.auditing import _KNOWN, known
+from wardlight.plans.featuring import _ASSET_CTES, _INPUTS, _NET, as_of, assembled, whois_obs
 from wardlight.plans.parsing import HOSTS, PARTED
 from wardlight.plans.registry import query, with_inputs
 from wardlight.reasons import ALTERNATIVE_TEXTS, RULES
@@ -226,20 +229,19 @@ def explain_with_context(spark, sf):
     return out.select("row_id", "score", "label", "confidence", F.array_join("reasons", "|").alias("reasons"))
 
 
-def flagship(spark, sf) -> DataFrame:
+def flagship(spark, sf, with_reasons: bool = True) -> DataFrame:
     """Curated list first, then features, score, label and reasons."""
-    from wardlight.operators.lookups import known_lookup, known_verdict, route_verdicts
-    from wardlight.plans.auditing import known
-    from wardlight.plans.featuring import as_of, whois_obs
-    from wardlight.operators.assemble import assemble
-
     columns = ["row_id", "domain", "score", "label", "confidence", "reasons"]
     hosts = adapted(spark, sf, "asset_hosts").drop("label")
-    listed, fresh = route_verdicts(hosts, known(spark, sf))
-    answered = known_verdict(known_lookup(listed, known(spark, sf))).select(*columns)
+    curated = known(spark, sf)
+    listed, fresh = route_verdicts(hosts, curated)
+    answered = known_verdict(known_lookup(listed, curated)).select(*columns)
     wide = assemble(fresh, adapted(spark, sf, "dns_obs"), whois_obs(spark, sf), as_of(), tie="obs_id")
-    scored = N.score_nodes(numeric(wide), node_table(spark), contributions=True)
-    return answered.unionByName(X.explain(N.verdict_columns(scored)).select(*columns))
+    scored = N.verdict_columns(N.score_nodes(numeric(wide), node_table(spark), contributions=with_reasons))
+    if not with_reasons:
+        columns.remove("reasons")
+        return answered.drop("reasons").unionByName(scored.select(*columns))
+    return answered.unionByName(X.explain(scored).select(*columns))
 
 
 _ANSWERED = """SELECT row_id, domain, CASE WHEN e.verdict = 'safe' THEN 0.0 ELSE 1.0 END::DOUBLE AS score,
@@ -247,8 +249,6 @@ _ANSWERED = """SELECT row_id, domain, CASE WHEN e.verdict = 'safe' THEN 0.0 ELSE
 
 
 def _flagship_sql() -> str:
-    from wardlight.plans.auditing import _KNOWN
-
     return with_inputs("asset_hosts known dns_obs whois_obs", f"""SELECT * FROM answered UNION ALL SELECT net.row_id, net.domain, round(s, 4),
       CASE WHEN s >= 0.8 THEN 'malicious' WHEN s >= 0.5 THEN 'suspicious' ELSE 'safe' END,
       CASE WHEN greatest(s, 1 - s) >= 0.8 THEN 'high' WHEN greatest(s, 1 - s) >= 0.65 THEN 'medium' ELSE 'low' END
@@ -259,4 +259,44 @@ def _flagship_sql() -> str:
 @query("analyze_hosts", _flagship_sql())
 def analyze_hosts(spark, sf):
     """The whole bulk analysis without the reason texts (as in bulk answers)."""
-    return flagship(spark, sf).drop("reasons")
+    return flagship(spark, sf, with_reasons=False)
+
+
+@query("sc6_analysis_ids", with_inputs("analyses", "SELECT event_id, CASE WHEN score >= 0.5 THEN sha256(lower(domain) || '|' || epoch_us(created_at)::VARCHAR) END AS analysis_id FROM analyses"))
+def analysis_ids(spark, sf):
+    rows = K.with_analysis_id(adapted(spark, sf, "analyses"))
+    return rows.select("event_id", "analysis_id")
+
+
+@query("udf1_custom_extractor", with_inputs("raw_hosts", """SELECT row_id, length(domain)::INT AS raw_length,
+  (length(domain) > 20)::INT AS is_long FROM raw_hosts"""))
+def custom_extractor(spark, sf):
+    """A caller's per-domain pandas function used as a feature extractor."""
+    extract = K.per_domain(_raw_length, "raw_length int, is_long int")
+    return extract(adapted(spark, sf, "raw_hosts")).select("row_id", "raw_length", "is_long")
+
+
+def _raw_length(domains):
+    import pandas as pd
+
+    n = domains.str.len()
+    return pd.DataFrame({"raw_length": n, "is_long": (n > 20).astype(int)})
+
+
+@query("udf2_callable_encoder", with_inputs("raw_hosts", "SELECT row_id, length(tld) * 10 AS code FROM parted", hosts=HOSTS, parted=PARTED))
+def callable_encoder(spark, sf):
+    from wardlight.plans.parsing import hosts_and_parts
+
+    rows = K.encode_with(hosts_and_parts(spark, sf), "tld", lambda tokens: tokens.str.len() * 10)
+    return rows.select("row_id", F.col("tld").cast("long").alias("code"))
+
+
+@query("udf3_custom_contributions", with_inputs("analyses", """SELECT event_id AS row_key, 1 AS position, 'num_digits' AS feature,
+  'The domain name contains an unusual number of digits (' || (event_id % 9)::VARCHAR || ')' AS text FROM analyses WHERE event_id % 9 >= 4"""))
+def custom_contributions(spark, sf):
+    """A caller's contribution function feeding the standard reason rules."""
+    def contributions(df):
+        return df.select(F.col("event_id").alias("row_key"), F.lit("num_digits").alias("feature"),
+                         (F.col("event_id") % 9).cast("double").alias("value"), F.lit(1.0).alias("contribution"))
+
+    return K.explain_with(adapted(spark, sf, "analyses"), contributions)

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from wardlight.plans import visiting as V
 from wardlight.plans.auditing import _CURRENT
 from wardlight.plans.registry import query, with_inputs
-from wardlight.sources.adapters import SPARK_SQL, adapted
+from wardlight.session import ensure_utc
+from wardlight.sources.adapters import SPARK_SQL, adapted, table
 from wardlight.streaming import flows as S
 from wardlight.streaming import windows as W
 
 
 def streamed(spark, sf, name: str):
     """An adapter over the events table read as a stream."""
-    from wardlight.session import ensure_utc
-
-    source = S.read_stream(ensure_utc(spark), f"{sf}/events.parquet")
+    schema = table(spark, sf, "events").schema
+    source = S.read_stream(ensure_utc(spark), sf, schema, "events.parquet")
     return spark.sql(SPARK_SQL[name].replace("FROM events", "FROM {events}"), events=source)
 
 
@@ -62,17 +62,17 @@ def stream_upsert(spark, sf):
 
 
 @query("st8_navigation_stream", with_inputs("nav", """SELECT c.tab_id, c.event_id AS commit_id, d.event_id AS complete_id
-  FROM nav c JOIN nav d ON c.tab_id = d.tab_id AND c.url = d.url AND d.ts BETWEEN c.ts AND c.ts + INTERVAL 10 MINUTE
+  FROM nav c JOIN nav d ON c.tab_id = d.tab_id AND c.url = d.url AND d.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOUR
   WHERE c.kind = 'commit' AND d.kind = 'complete' AND c.frame_id = 0 AND d.frame_id = 0"""))
 def navigation_stream(spark, sf):
     nav = [streamed(spark, sf, "nav").where("frame_id = 0") for _ in range(2)]
     commits = nav[0].where("kind = 'commit'").select("tab_id", "url", F.col("ts").alias("commit_ts"), F.col("event_id").alias("commit_id"))
     done = nav[1].where("kind = 'complete'").select("tab_id", "url", F.col("ts").alias("complete_ts"), F.col("event_id").alias("complete_id"))
-    return S.run_to_table(S.navigation_stream(commits, done), "nav")
+    return S.run_to_table(S.navigation_stream(commits, done, within="6 hours"), "nav")
 
 
-@query("st10_fresh_lookup_stream", with_inputs("visits dns_obs", """SELECT event_id, coalesce(ts >= at AND ts - at < INTERVAL 24 HOUR, false) AS fresh
-  FROM visits LEFT JOIN (SELECT host, max(observed_at) AS at FROM dns_obs WHERE observed_at < TIMESTAMP '2024-01-20' GROUP BY host) ON host = domain"""))
+@query("st10_fresh_lookup_stream", with_inputs("visits dns_obs", """SELECT event_id, coalesce(ts >= seen AND ts - seen < INTERVAL 24 HOUR, false) AS fresh
+  FROM visits LEFT JOIN (SELECT host, max(observed_at) AS seen FROM dns_obs WHERE observed_at < TIMESTAMP '2024-01-20' GROUP BY host) ON host = domain"""))
 def fresh_lookup_stream(spark, sf):
     seen = adapted(spark, sf, "dns_obs").where("observed_at < TIMESTAMP '2024-01-20 00:00:00'")
     snapshot = seen.groupBy(F.col("host").alias("domain")).agg(F.max("observed_at").alias("observed_at"))

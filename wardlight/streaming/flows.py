@@ -21,11 +21,11 @@ from wardlight.streaming.windows import LATENESS, watermarked
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType | None = None,
+def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet",
                 max_files: int = 1000) -> DataFrame:
-    """A Parquet folder (or file) as a stream, a bounded number of files per batch."""
-    schema = schema or spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    """Parquet files of a folder as a stream, a bounded number per batch."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("pathGlobFilter", files).parquet(folder))
 
 
 def run_to_table(df: DataFrame, name: str) -> DataFrame:
@@ -96,24 +96,20 @@ def stream_upsert(verdicts: DataFrame, name: str, order: list[str]) -> DataFrame
     spark = verdicts.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     flagged = log_rows(log_gate(verdicts))
+    written: list[str] = []
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch
         if batch_id > 0:
             rows = batch.sparkSession.read.schema(flagged.schema).parquet(f"{out}/v{batch_id - 1}").unionByName(batch)
         latest_per_key(rows, ["domain"], order).write.mode("overwrite").parquet(f"{out}/v{batch_id}")
+        written.append(f"{out}/v{batch_id}")
 
-    query = (flagged.writeStream.foreachBatch(merge).option("checkpointLocation", state)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    last = query.lastProgress.batchId if query.lastProgress else 0
-    for version in (last, last - 1):
-        try:
-            return spark.read.schema(flagged.schema).parquet(f"{out}/v{version}")
-        except Exception:  # the final trigger of a run may carry no batch
-            if version < last:
-                raise
-    raise RuntimeError("no batch was written")
+    (flagged.writeStream.foreachBatch(merge).option("checkpointLocation", state)
+     .trigger(availableNow=True).start().awaitTermination())
+    if not written:
+        return spark.createDataFrame([], flagged.schema)
+    return spark.read.schema(flagged.schema).parquet(written[-1])
 
 
 class _VerdictCache(StatefulProcessor):
