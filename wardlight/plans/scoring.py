@@ -283,7 +283,7 @@ def _raw_length(domains):
     return pd.DataFrame({"raw_length": n, "is_long": (n > 20).astype(int)})
 
 
-@query("udf2_callable_encoder", with_inputs("raw_hosts", "SELECT row_id, length(tld) * 10 AS code FROM parted", hosts=HOSTS, parted=PARTED))
+@query("udf2_callable_encoder", with_inputs("raw_hosts", "SELECT row_id, length(coalesce(nullif(tld, ''), 'unknown')) * 10 AS code FROM parted", hosts=HOSTS, parted=PARTED))
 def callable_encoder(spark, sf):
     from wardlight.plans.parsing import hosts_and_parts
 
