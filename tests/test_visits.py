@@ -1,6 +1,7 @@
 """Order-dependent operators against plain loops, with one very hot key."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -151,11 +152,11 @@ def test_streamed_upsert_keeps_latest(spark, visit_files):
 
 
 def test_late_rows_are_counted(spark):
+    # Lateness is judged by the watermark of the batch before.
     path = scratch_path(spark, "late")
-    for i, hours in enumerate([0, 30, 1]):
+    for i, hours in enumerate([0, 30, 30, 1]):
         df = spark.createDataFrame([(i, "a.com", START + timedelta(hours=hours), "safe")], SCHEMA)
         df.coalesce(1).write.mode("append").parquet(path)
-        import time
         time.sleep(1.1)
     stream = flows.read_stream(spark, path, df.schema, max_files=1)
     out, state = scratch_path(spark, "o"), scratch_path(spark, "s")

@@ -62,7 +62,7 @@ def longest_run(col: Column, char_class: str) -> Column:
 
 def constant_words(words: list[str]) -> Column:
     """A constant array, folded by the optimizer (one literal to build)."""
-    return F.split(F.lit("|".join(words)), r"\|")
+    return F.split(F.lit("|".join(words)), r"\|") if words else F.array().cast("array<string>")
 
 
 def contains_any(col: Column, words: list[str]) -> Column:

@@ -65,7 +65,7 @@ def nearest_popular(df: DataFrame, popular: DataFrame, sld_col: str = "sld",
 def _chunked(rest: DataFrame, pop: DataFrame) -> DataFrame:
     """Each name meets every chunk of the list; chunks are spread over salts."""
     total = pop.count()
-    chunks = -(-total // CHUNK_NAMES)
+    chunks = max(1, -(-total // CHUNK_NAMES))
     lists = (pop.groupBy(F.pmod(F.xxhash64("_p"), F.lit(chunks).cast("long")).alias("_c"))
              .agg(F.array_sort(F.collect_list("_p")).alias("_names"))
              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_SALTS - 1)))))

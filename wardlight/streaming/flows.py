@@ -88,28 +88,22 @@ def fresh_lookup(visits: DataFrame, snapshot: DataFrame, max_age_seconds: int =
 
 
 def stream_upsert(verdicts: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Flagged verdicts merged batch by batch into one row per domain.
+    """Flagged verdicts as an upserted table: one current row per domain.
 
-    Each batch reads the last finished table version and writes the next one
-    under its own id, so repeating a batch after a failure changes nothing.
+    A batch writes only its own newest rows, below its batch id; repeating it
+    after a failure replaces the same folder.  The current table is the newest
+    row per domain over all batches, so no batch rewrites the table.
     """
     spark = verdicts.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     flagged = log_rows(log_gate(verdicts))
-    written: list[str] = []
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = batch.sparkSession.read.schema(flagged.schema).parquet(f"{out}/v{batch_id - 1}").unionByName(batch)
-        latest_per_key(rows, ["domain"], order).write.mode("overwrite").parquet(f"{out}/v{batch_id}")
-        written.append(f"{out}/v{batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        latest_per_key(batch, ["domain"], order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    (flagged.writeStream.foreachBatch(merge).option("checkpointLocation", state)
+    (flagged.writeStream.foreachBatch(write).option("checkpointLocation", state)
      .trigger(availableNow=True).start().awaitTermination())
-    if not written:
-        return spark.createDataFrame([], flagged.schema)
-    return spark.read.schema(flagged.schema).parquet(written[-1])
+    return latest_per_key(spark.read.parquet(out).drop("batch"), ["domain"], order)
 
 
 class _VerdictCache(StatefulProcessor):
