@@ -48,6 +48,19 @@ def test_cache_replay_equals_loop(spark, limit, hours):
     assert got == naive_hits(rows)
 
 
+@pytest.mark.parametrize("limit", [10**6, 300])
+def test_cache_replay_across_arrow_batches(spark, limit):
+    """State carries over when a domain spans several Arrow batches."""
+    rows = visit_rows(2000, 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        got = {r["event_id"]: r["hit"] for r in replay.cache_replay(df, limit=limit, hours=(24, 2)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == naive_hits(rows)
+
+
 def test_sessions_equal_loop(spark):
     rows = visit_rows()
     want, last = {}, {}

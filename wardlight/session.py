@@ -36,14 +36,17 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_fallback: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one only if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    folder = tempfile.mkdtemp(prefix="wardlight-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="wardlight-"))
+    return _fallback[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
