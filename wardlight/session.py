@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -36,22 +35,26 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_fallback: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not _fallback:
-        _fallback.append(tempfile.mkdtemp(prefix="wardlight-"))
-    return _fallback[0]
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/wardlight/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared folder for one run's state or output."""
-    return f"{shared_dir(spark).rstrip('/')}/wardlight/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for state, output or a table that cuts lineage."""
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to scratch paths; call it when no result is read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint(df):
