@@ -16,12 +16,16 @@ from wardlight.session import scratch_path
 HASHES = 64
 TREES = 16
 #: Neighbours looked at on each side in each sorted order.
-REACH = 16
+REACH = 8
 #: Hash bytes that two neighbours share at least at the head of an order.
 DEPTH = 3
+#: Depths at which a region of more than REACH rows is also compared with its centre.
+CENTRES = (3, 5, 8, 13, 21)
 #: Neighbours of a document confirmed in the first round, the likeliest first.
 FIRST = 4
 ROWS_PER_RANGE = 200_000
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle, and bits a row of it.
+FILTER_BITS, ROW_BITS = 1 << 24, 1 << 15
 
 _random = np.random.Generator(np.random.PCG64(7_2024))
 _XOR = _random.integers(0, 2**64, HASHES, np.uint64)
@@ -89,8 +93,19 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, f1 long, f2 long, sketch binary")
 
 
-def neighbours(ids: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows near each other in a sorted order that agree in ``least`` bytes: (a, b, bytes)."""
+def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: int,
+               percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows near each other in a sorted order: (a, b, bytes in which they agree).
+
+    They agree in ``least`` bytes, and their sets' sizes don't rule the similarity out.
+
+    Pairs are of two kinds.  Each row is compared with the ``REACH`` rows before and after
+    it; in a dense region those are the ones most like it.  And each row of a region of
+    more than ``REACH`` rows with a common prefix is compared with the region's centre,
+    the row that agrees best with the commonest bytes: two copies of one text that
+    differ in other places are linked only if both are near that text, and rarely stand
+    side by side.  Both grow in proportion to the rows.
+    """
     n = len(ids)
     a, b, score = [], [], []
     if n < 2:
@@ -106,19 +121,34 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, least: int) -> tuple[np.ndar
             break
         for part in np.array_split(at, max(1, len(at) // 100_000)):
             same = (sketch[part] == sketch[part + step]).sum(1)
-            use = same >= least
+            x, y = sizes[part], sizes[part + step]
+            use = (same >= least) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
             x, y = ids[part[use]], ids[part[use] + step]
             a.append(np.minimum(x, y))
             b.append(np.maximum(x, y))
             score.append(same[use].astype(np.int32))
+    for depth in CENTRES:
+        cuts = np.r_[0, np.flatnonzero(lcp < depth) + 1, n]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if high - low > REACH + 1:
+                block = sketch[low:high]
+                counts = np.bincount((block + 256 * np.arange(block.shape[1])).ravel(), minlength=256 * block.shape[1])
+                commonest = counts.reshape(-1, 256).argmax(1)
+                centre = int((block == commonest).sum(1).argmax())
+                same = (block == block[centre]).sum(1)
+                x, y = sizes[low:high], sizes[low + centre]
+                use = np.flatnonzero((same >= least) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)))
+                a.append(np.minimum(ids[low + use], ids[low + centre]))
+                b.append(np.maximum(ids[low + use], ids[low + centre]))
+                score.append(same[use].astype(np.int32))
     if not a:
         return ids[:0], ids[:0], np.zeros(0, np.int32)
     a, b, score = np.concatenate(a), np.concatenate(b), np.concatenate(score)
     return a[a != b], b[a != b], score[a != b]
 
 
-def candidates(sets: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b, score), a < b, of the representatives ``sets`` (key, sketch).
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, score), a < b, of the representatives ``sets`` (key, n, sketch).
 
     Every tree is one order of the hash bytes.  All rows of all trees are range
     sorted together, by tree, bytes and id, so a large region is spread over tasks; each
@@ -128,6 +158,8 @@ def candidates(sets: DataFrame, least: int) -> DataFrame:
     edge of a task are handed on, so a task's edge loses no neighbours.
     """
     spark = sets.sparkSession
+    expected = percent / 100
+    least = int(HASHES * expected - 5 * (HASHES * expected * (1 - expected)) ** 0.5)
     rows = sets.count()
     ranges = max(1, -(-rows * TREES // ROWS_PER_RANGE))
 
@@ -142,31 +174,33 @@ def candidates(sets: DataFrame, least: int) -> DataFrame:
                 ends = (np.arange(len(body) + 1) * (HASHES + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.Array.from_buffers(pa.binary(), len(body), [
-                        None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())]), batch["key"]], ["order", "key"])
+                        None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())]), batch["key"], batch["n"]],
+                    ["order", "key", "n"])
 
-    ordered = (sets.select("key", "sketch").mapInArrow(spread_out, "order binary, key long")
+    ordered = (sets.select("key", "n", "sketch").mapInArrow(spread_out, "order binary, key long, n long")
                .repartitionByRange(ranges, "order", "key").sortWithinPartitions("order", "key"))
 
-    def read(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-        ids, keys = [np.zeros(0, np.int64)], [np.zeros((0, HASHES + 1), np.uint8)]
+    def read(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, HASHES + 1), np.uint8)]
         for batch in batches:
             ids.append(batch["key"].to_numpy())
+            sizes.append(batch["n"].to_numpy())
             keys.append(np.frombuffer(b"".join(batch["order"].to_pylist()), np.uint8).reshape(-1, HASHES + 1))
-        return np.concatenate(ids), np.concatenate(keys)
+        return np.concatenate(ids), np.concatenate(sizes), np.concatenate(keys)
 
-    def within(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = []
+    def within(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [neighbours(ids[:0], keys[:0, 1:], sizes[:0], least, percent)]
         for tree in np.unique(keys[:, 0]).tolist():
             own = keys[:, 0] == tree
-            found.append(neighbours(ids[own], keys[own, 1:], least))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else neighbours(ids, keys, least)
+            found.append(neighbours(ids[own], keys[own, 1:], sizes[own], least, percent))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys = read(batches)
+        ids, sizes, keys = read(batches)
         if not len(ids):
             return
         part = TaskContext.get().partitionId()
-        a, b, score = within(keys, ids)
+        a, b, score = within(ids, sizes, keys)
         for at in range(0, len(a), 50_000):
             cut = slice(at, at + 50_000)
             m = len(a[cut])
@@ -177,7 +211,7 @@ def candidates(sets: DataFrame, least: int) -> DataFrame:
             m = len(ids[cut])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * m, pa.int32()), pa.array([head] * m), pa.array([k.tobytes() for k in keys[cut]]),
-                 pa.array(ids[cut]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())],
+                 pa.array(ids[cut]), pa.array(sizes[cut]), pa.nulls(m, pa.int32())],
                 ["part", "head", "order", "a", "b", "score"])
 
     path = scratch_path(spark, "neighbours")
@@ -187,13 +221,13 @@ def candidates(sets: DataFrame, least: int) -> DataFrame:
     parts = edges.select("part").distinct()
     following = parts.withColumn("next", F.lead("part").over(Window.orderBy("part")))  # a row a task
     seams = (edges.where("not head").join(following, "part").where("next is not null")
-             .select(F.col("next").alias("seam"), "order", F.col("a").alias("key"))
-             .unionByName(edges.where("head").select(F.col("part").alias("seam"), "order", F.col("a").alias("key"))))
+             .select(F.col("next").alias("seam"), "order", F.col("a").alias("key"), F.col("b").alias("n"))
+             .unionByName(edges.where("head").select(
+                 F.col("part").alias("seam"), "order", F.col("a").alias("key"), F.col("b").alias("n"))))
 
     def across(group: pa.Table) -> pa.Table:
         group = group.sort_by([("order", "ascending"), ("key", "ascending")])
-        ids, keys = read(group.to_batches())
-        a, b, score = within(keys, ids)
+        a, b, score = within(*read(group.to_batches()))
         return pa.table({"a": a, "b": b, "score": score})
 
     crossing = seams.groupBy("seam").applyInArrow(across, "a long, b long, score int")
@@ -201,6 +235,22 @@ def candidates(sets: DataFrame, least: int) -> DataFrame:
             .groupBy("a", "b").agg(F.max("score").alias("score")))
 
 
+def asked_for(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The ``rows`` (key, ...) whose key is in ``asked`` (key, distinct).
+
+    A bitmap of hashed keys, ``FILTER_BITS`` whatever the input, is broadcast first, so
+    that most rows that nobody asks for stay out of the join's shuffle.
+    """
+    place = lambda: F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    row, bit = F.floor(place() / ROW_BITS), F.pmod(place(), F.lit(ROW_BITS))
+    bitmaps = asked.groupBy(row.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = (rows.withColumn("bucket", row).join(F.broadcast(bitmaps), "bucket")
+              .where(1 == F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)))
+              .select(*rows.columns))
+    return likely.join(asked, "key", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity.
 
@@ -289,14 +339,14 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     (sets.where("n > 0 and key is not null").groupBy("f1", "f2", "n")
      .agg(F.min("key").alias("key"), F.min("sketch").alias("sketch")).write.parquet(path))
     nodes = spark.read.parquet(path)
-    expected = percent / 100
-    least = int(HASHES * expected - 5 * (HASHES * expected * (1 - expected)) ** 0.5)
     path = scratch_path(spark, "pairs")
-    candidates(nodes, least).write.parquet(path)
+    candidates(nodes, percent).write.parquet(path)
     pairs = spark.read.parquet(path)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    path = scratch_path(spark, "asked")
+    pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().write.parquet(path)
+    asked = spark.read.parquet(path)
     path = scratch_path(spark, "texts")
-    rows.join(asked, "key", "left_semi").distinct().write.parquet(path)
+    asked_for(rows, asked).distinct().write.parquet(path)
     texts = spark.read.parquet(path)
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")),
                                         F.struct(F.col("b").alias("one"), F.col("a").alias("other")))).alias("x"), "a", "b", "score")
