@@ -8,7 +8,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ SAMPLE = 10_000
 #: Features kept: those most associated with a category.
 FEATURES = 1_000
 #: Least chi-squared value and least number of documents of a feature.
-LEAST_CHI, LEAST_DOCS = 30.0, 5
-FOLDS = 4
-PREFIX = 5
+LEAST_CHI, LEAST_DOCS = 15.0, 4
+FOLDS = 3
+ITERATIONS, PENALTY = 40, 1e-4
+#: Bytes of the word heads that are features besides the words.
+HEADS = (4, 5, 6)
 
 
 class Chain(NamedTuple):
@@ -36,15 +39,19 @@ class Chain(NamedTuple):
 
 
 def _features(found: Words, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) once each: a text's words and the first ``PREFIX`` bytes of longer ones."""
+    """(row, feature): a text's words and the heads of longer ones."""
     row = np.repeat(np.arange(rows), found.per_row)
-    long = found.length > PREFIX
-    start = found.start[long]
-    inside = np.zeros(len(found.data), bool)
-    inside[(start[:, None] + np.arange(PREFIX)).ravel()] = True
-    heads = unit_hashes(found.data, inside, start, np.full(len(start), PREFIX))
-    heads = heads * np.uint64(0xD1342543DE82EF95) + np.uint64(7)
-    return np.concatenate([row, row[long]]), np.concatenate([found.hashes, heads])
+    at, features = [row], [found.hashes]
+    for size in HEADS:
+        long = found.length > size
+        start = found.start[long]
+        inside = np.zeros(len(found.data), bool)
+        for k in range(size):
+            inside[start + k] = True
+        heads = unit_hashes(found.data, inside, start, np.full(len(start), size))
+        at.append(row[long])
+        features.append(heads * np.uint64(0xD1342543DE82EF95) + np.uint64(size))
+    return np.concatenate(at), np.concatenate(features)
 
 
 def _once(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,45 +159,48 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "d
                 ["key", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    path = scratch_path(spark, "features")
     # the bounded sample's feature numbers, in as many parts as it needs
-    sample.mapInArrow(dense, f"key {kind}, y array<double>, x array<int>").coalesce(4).write.parquet(path)
-    rows = spark.read.parquet(path).withColumn("fold", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(FOLDS)))
-    lit = F.transform(F.sequence(F.lit(0), F.lit(max(d, 1) - 1)), lambda i: F.when(
-        F.array_contains("x", i.cast("int")), 1.0).otherwise(0.0))
-    rows = rows.select("key", "y", "fold", lit.alias("x"), F.array().cast("array<double>").alias("p")).cache()
+    rows = _kept(sample.mapInArrow(dense, f"key {kind}, y array<double>, x array<int>").coalesce(4))
+    names = [str(i) for i in range(max(d, 1))]
+    counter = CountVectorizerModel.from_vocabulary(names, inputCol="w", outputCol="bag").setBinary(True).setMinTF(1.0)
+    rows = _kept(counter.transform(rows.withColumn("w", F.col("x").cast("array<string>"))).select(
+        "key", "y", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(FOLDS)).alias("fold"), "bag"))
     weights, intercepts = np.zeros((k, max(d, 1) + k)), np.full(k, -40.0)
     threshold = 1.0
     for c in range(k):
-        data = rows.select("key", "y", "fold", "x", "p", F.get("y", F.lit(c)).alias("label"),
-                           array_to_vector(F.concat("x", "p")).alias("features")).cache()
+        join = VectorAssembler(inputCols=["bag", *(f"p{i}" for i in range(c))], outputCol="features")
+        data = join.transform(rows).withColumn("label", F.get("y", F.lit(c)))
         classes = {r["label"] for r in data.select("label").distinct().collect()}
-        model = LogisticRegression(maxIter=40, regParam=0.002, standardization=False)
         if classes != {0.0, 1.0} or not d:
-            known = 40.0 if classes == {1.0} and d else -40.0
-            intercepts[c] = known
-            rows = data.select("key", "y", "fold", "x", F.concat("p", F.array(F.lit(float(known > 0)))).alias("p")).cache()
+            intercepts[c] = 40.0 if classes == {1.0} else -40.0
+            rows = rows.withColumn(f"p{c}", F.lit(float(classes == {1.0})))
             continue
+        model = LogisticRegression(maxIter=ITERATIONS, regParam=PENALTY, standardization=False)
         whole = model.fit(data)
         weights[c, :max(d, 1) + c], intercepts[c] = whole.coefficients.toArray(), whole.intercept
-        parts = []
+        parts = None
         for f in range(FOLDS):
             held, others = data.where(F.col("fold") == f), data.where(F.col("fold") != f)
-            part = (model.fit(others) if others.select("label").distinct().count() == 2 else whole).transform(held)
-            parts.append(part.select("key", "y", "fold", "x", F.concat("p", F.array(
-                F.get(vector_to_array("probability"), F.lit(1)))).alias("p")))
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        rows = every.cache()
+            both = others.select("label").distinct().count() == 2
+            part = (model.fit(others) if both else whole).transform(held).select(
+                *rows.columns, F.get(vector_to_array("probability"), F.lit(1)).alias(f"p{c}"))
+            parts = part if parts is None else parts.unionByName(part)
+        rows = _kept(parts)
         if c == k - 1:
             threshold = _best_threshold(rows, c)
     return Chain(categories, features, weights, intercepts, threshold)
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared folder and read back."""
+    path = scratch_path(rows.sparkSession, "sample")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _best_threshold(rows: DataFrame, c: int) -> float:
     """The cut of best F1 over 200 steps of the out-of-fold probability."""
-    got = rows.groupBy(F.floor(F.get("p", F.lit(c)) * 200).alias("b")).agg(
+    got = rows.groupBy(F.floor(F.col(f"p{c}") * 200).alias("b")).agg(
         F.sum(F.get("y", F.lit(c))).alias("pos"), F.count("*").alias("n")).collect()
     pos, n = np.zeros(202), np.zeros(202)
     for r in got:
