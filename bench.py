@@ -9,14 +9,14 @@ import os
 import time
 
 from wardlight.plans import catalog
-from wardlight.session import build_session
+from wardlight.session import build_session, clear_scratch
 
 HEADLINE = [
     "src5_hosts_from_visits", "val1_validate_domain", "sf_structural_features", "jn5_nearest_popular",
     "nf1_dns_features", "nf4_whois_features", "asm1_assemble", "asm3_build_feature_matrix",
     "enc1_fit_vocab", "jn3_route_verdicts", "jn6_latest_snapshot", "jn7_cached_hits", "jn9_navigation_pairs",
     "ml13_evaluate", "ag8_threshold_sweep", "wn1_latest_per_domain", "wn4_explain_top_reasons",
-    "st3_cache_replay", "st4_visit_sessions", "st5_rate_limit_report", "analyze_hosts",
+    "st2_collapse_inflight", "st4_visit_sessions", "st5_rate_limit_report", "analyze_hosts",
 ]
 
 
@@ -35,6 +35,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3),
                       "unit": "sec", "queries": seconds, "sf": os.path.basename(folder.rstrip("/"))}))
+    clear_scratch(spark)
     spark.stop()
 
 

@@ -6,16 +6,17 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-from wardlight.session import build_session  # noqa: E402
+from wardlight.session import build_session, clear_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("local[8]", "tests", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+        "spark.driver.memory": "8g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

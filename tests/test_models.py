@@ -91,13 +91,24 @@ def test_exact_split_counts(spark):
         assert counts[label, True] == round(total * 0.2)
 
 
-@pytest.mark.parametrize("block_rows", [2000, 10])
-def test_oversampling_stays_between_neighbours(spark, block_rows):
+@pytest.mark.parametrize("reach", [64, 4])
+def test_oversampling_stays_between_neighbours(spark, reach):
     rows = [(f"p{i}", 1, float(i % 40), float(i % 7), "xyz" if i % 3 else "top") for i in range(60)]
     rows += [(f"n{i}", 0, -5.0, -5.0, "com") for i in range(1000)]
     df = spark.createDataFrame(rows, "domain string, label int, a double, b double, tld string")
-    out = learning.oversample(df, continuous=["a", "b"], categorical=["tld"], block_rows=block_rows)
+    out = learning.oversample(df, continuous=["a", "b"], categorical=["tld"], reach=reach)
     made = out.where("synthetic").collect()
     assert len(made) == 440 and out.count() == 1500
     assert all(r["label"] == 1 and 0 <= r["a"] <= 39 and 0 <= r["b"] <= 6 and r["tld"] in ("xyz", "top") for r in made)
     assert learning.oversample(df, "none", continuous=["a", "b"], categorical=["tld"]).count() == 1060
+
+
+def test_oversampling_uses_one_method_at_any_size(spark):
+    """Two clusters: every synthetic row lies between two rows of its own cluster, below and above any size."""
+    for n in (40, 3000):
+        rows = [(f"p{i}", 1, (i % 2) * 100.0 + i % 10, float(i % 7), "xyz" if i % 2 else "top") for i in range(n)]
+        rows += [(f"n{i}", 0, -5.0, -5.0, "com") for i in range(20 * n)]
+        df = spark.createDataFrame(rows, "domain string, label int, a double, b double, tld string")
+        made = learning.oversample(df, continuous=["a", "b"], categorical=["tld"]).where("synthetic").collect()
+        assert len(made) == 10 * n - n
+        assert all((r["tld"] == "xyz") == (r["a"] >= 100) and (0 <= r["a"] <= 9 or 100 <= r["a"] <= 109) for r in made)

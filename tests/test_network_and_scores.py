@@ -18,10 +18,10 @@ def observations(spark):
     dns += [("fastflux.example", "A", f"1.1.1.{i}", 60, NOW) for i in range(5)] + [("fastflux.example", "NS", "n", 60, NOW)]
     days = lambda n: NOW + timedelta(days=n)
     whois = [
-        ("young.com", [days(-4)], [days(361)], "GoDaddy.com, LLC", "US", "", None, None, None, NOW),
-        ("old.com", [days(-3650)], [days(365)], "GoDaddy.com, LLC", " US ", "", None, None, None, NOW),
-        ("private.com", [days(-500), days(-1)], [days(200)], "NameCheap", None, "REDACTED FOR PRIVACY", None, None, ["whoisguard@x"], NOW),
-        ("future.com", [days(3)], [days(-1.5)], None, None, "", None, None, None, NOW)]
+        ("young.com", [days(-4)], [days(361)], "GoDaddy.com, LLC", "US", "", None, None, None, NOW, None),
+        ("old.com", [days(-3650)], [days(365)], "GoDaddy.com, LLC", " US ", "", None, None, None, NOW, None),
+        ("private.com", [days(-500), days(-1)], [days(200)], "NameCheap", None, "REDACTED FOR PRIVACY", None, None, ["whoisguard@x"], NOW, None),
+        ("future.com", [days(3)], [days(-1.5)], None, None, "", None, None, None, NOW, None)]
     return spark.createDataFrame(dns, DNS_OBS), spark.createDataFrame(whois, WHOIS_OBS)
 
 
@@ -44,6 +44,29 @@ def test_network_cases(spark):
     assert list(got["old.com"].asDict())[1:] == FEATURE_NAMES
 
 
+def test_snapshots_and_as_of(spark):
+    day = timedelta(days=1)
+    dns = [("a.com", "A", "1.1.1.1", 60, NOW - k * day + timedelta(hours=1)) for k in range(1, 6)]
+    dns += [("a.com", "A", "1.1.1.1", 90, NOW - timedelta(hours=23))]
+    whois = [("a.com", [NOW - 9 * day], None, None, "US", "", None, None, None, NOW + day, "hidden by proxy"),
+             ("a.com", [NOW - 9 * day], None, None, "FR", "", None, None, None, NOW - day, "hidden by proxy")]
+    dns, whois = spark.createDataFrame(dns, DNS_OBS), spark.createDataFrame(whois, WHOIS_OBS)
+    host = spark.createDataFrame([("a.com",)], "domain string")
+
+    def at(when, **given):
+        return assemble(host, as_of=F.lit(when), **given).first()
+
+    r = at(NOW, dns_obs=dns, whois_obs=whois)
+    assert (r["num_a_records"], r["is_fast_flux"], r["dns_ttl"], r["whois_country"], r["whois_privacy_enabled"]) == (1, 0, 60, "fr", 1)
+    before = at(NOW - 300 * day, dns_obs=dns, whois_obs=whois)
+    assert {k: before[k] for k in NETWORK_DEFAULTS} == NETWORK_DEFAULTS
+    one = at(NOW, dns_obs=dns)
+    assert one["num_a_records"] == 1 and one["whois_country"] == "unknown" and one["network_features_available"] == 1
+    assert at(NOW + day, whois_obs=whois)["whois_country"] == "us"
+    with pytest.raises(ValueError):
+        assemble(host, dns)
+
+
 def test_batch_error_rules(spark):
     df = spark.createDataFrame([("a.com",), ("  ",)], "domain string")
     assert assemble_batch(df, "skip").count() == 1
@@ -121,5 +144,7 @@ def test_log_reports(spark):
                                 "domain string, score double, label string, created_at timestamp")
     assert audit.recent_analyses(log, 10, "safe").count() == 0
     assert [r["domain"] for r in audit.recent_analyses(log, 1).collect()] == ["b.com"]
+    with pytest.raises(ValueError):
+        audit.recent_analyses(log, 501)
     assert audit.purge_count(log, F.lit(datetime(2024, 3, 31)), 90).first().asDict() == {"purged": 0, "kept": 2}
     assert audit.purge_count(log, F.lit(datetime(2024, 4, 1)), 90).first()["purged"] == 1

@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.operators import navigation, replay
+from wardlight.functions.scores import ttl_for_label
+from wardlight.operators import navigation, sessions
 from wardlight.operators.bounds import next_value, previous_value
 from wardlight.operators.lookups import latest_before
 from wardlight.session import scratch_path
@@ -40,27 +41,6 @@ def naive_hits(rows):
     return hits
 
 
-@pytest.mark.parametrize("limit,hours", [(10**6, (720,)), (300, (720, 24, 6, 2)), (50, (2,)), (1, (24,))])
-def test_cache_replay_equals_loop(spark, limit, hours):
-    rows = visit_rows()
-    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    got = {r["event_id"]: r["hit"] for r in replay.cache_replay(df, limit=limit, hours=hours).collect()}
-    assert got == naive_hits(rows)
-
-
-@pytest.mark.parametrize("limit", [10**6, 300])
-def test_cache_replay_across_arrow_batches(spark, limit):
-    """State carries over when a domain spans several Arrow batches."""
-    rows = visit_rows(2000, 8)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
-    try:
-        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-        got = {r["event_id"]: r["hit"] for r in replay.cache_replay(df, limit=limit, hours=(24, 2)).collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == naive_hits(rows)
-
-
 def test_sessions_equal_loop(spark):
     rows = visit_rows()
     want, last = {}, {}
@@ -69,7 +49,7 @@ def test_sessions_equal_loop(spark):
             want.setdefault(d, []).append(0)
         want[d][-1] += 1
         last[d] = ts
-    got = replay.visit_sessions(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = sessions.visit_sessions(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {d: [r["visits"] for r in sorted(got, key=lambda r: r["session"]) if r["domain"] == d] for d in want} == want
 
 
@@ -137,15 +117,31 @@ def visit_files(spark):
     return path, rows
 
 
-def test_streamed_cache_equals_loop(spark, visit_files):
+def made_lookups(rows, delay):
+    last = max(r[2] for r in rows) - delay
+    hits = naive_hits(rows)
+    return {r[0] for r in rows if not hits[r[0]] and r[2] <= last}
+
+
+@pytest.mark.parametrize("max_files", [1, 100])
+def test_streamed_lookups_equal_loop(spark, visit_files, max_files):
     path, rows = visit_files
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", flows.ROCKSDB)
-    try:
-        stream = flows.read_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
-        got = {r["event_id"]: r["hit"] for r in flows.run_to_table(flows.cache_stream(stream), "t").collect()}
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    assert got == naive_hits(rows)
+    stream = flows.read_stream(spark, path, spark.read.parquet(path).schema, max_files=max_files)
+    with flows.rocksdb(spark):
+        got = flows.run_to_table(flows.collapse_lookups(stream, ttl_for_label(F.col("label")), "2 hours"), "t").collect()
+    assert len(got) == len({r["event_id"] for r in got})
+    assert {r["event_id"] for r in got} == made_lookups(rows, timedelta(hours=2))
+
+
+def test_streamed_lookups_of_one_key_in_random_order(spark):
+    rng = random.Random(4)
+    rows = [(i, "hot.com", START + timedelta(seconds=rng.randrange(20 * 86400)), rng.choice(["safe", "malicious"])) for i in range(12_000)]
+    path = scratch_path(spark, "hot-visits")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(path)
+    stream = flows.read_stream(spark, path, spark.read.parquet(path).schema)
+    with flows.rocksdb(spark):
+        got = flows.run_to_table(flows.collapse_lookups(stream, ttl_for_label(F.col("label")), "1 minute"), "h").collect()
+    assert {r["event_id"] for r in got} == made_lookups(rows, timedelta(minutes=1))
 
 
 @pytest.mark.parametrize("max_files", [1, 100])

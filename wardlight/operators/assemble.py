@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from wardlight.functions.hosts import normalize_host, registrable
 from wardlight.operators.lexical import structural_features
 from wardlight.operators.network import apply_network_defaults, network_features
-from wardlight.operators.parse import validate_domains
 from wardlight.schemas import CATEGORICAL_FEATURES, FEATURE_NAMES, UNKNOWN
 
 Features = Callable[[DataFrame], DataFrame]
@@ -19,23 +18,27 @@ Features = Callable[[DataFrame], DataFrame]
 def assemble(hosts: DataFrame, dns_obs: DataFrame | None = None, whois_obs: DataFrame | None = None,
              as_of: Column | None = None, include_network: bool = True, col: str = "domain",
              popular=None, structural_fn: Features | None = None,
-             network_fn: Features | None = None, tie: str | None = None) -> DataFrame:
+             network_fn: Features | None = None, tie: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Input columns plus the 48 features, one row per input row.
 
     ``structural_fn`` / ``network_fn`` replace the built-in extractors; each
-    maps a DataFrame to one with its feature columns added.
+    maps a DataFrame to one with its feature columns added.  Either observation
+    table may be missing; with one, ``as_of`` is needed.  ``extra`` names columns of the
+    extractors to keep, such as the context that reason texts quote.
     """
+    if (dns_obs is not None or whois_obs is not None) and include_network and as_of is None and network_fn is None:
+        raise ValueError("observations need as_of")
     wide = structural_fn(hosts) if structural_fn else structural_features(hosts, col, popular)
     if include_network and network_fn:
         wide = apply_network_defaults(network_fn(wide))
-    elif include_network and dns_obs is not None and whois_obs is not None:
+    elif include_network and (dns_obs is not None or whois_obs is not None):
         prefix = F.expr("substring(host, 1, length(host) - length(tld) - 1)")
         sld = F.when(F.col("tld") == "", F.col("host")).otherwise(F.substring_index(prefix, ".", -1))
         keyed = wide.withColumn("_reg", registrable(F.col("host"), sld, F.col("tld")))
         wide = network_features(keyed, dns_obs, whois_obs, as_of, "host", "_reg", tie).drop("_reg")
     else:
         wide = apply_network_defaults(wide)
-    return wide.select(*hosts.columns, *FEATURE_NAMES)
+    return wide.select(*hosts.columns, *FEATURE_NAMES, *extra)
 
 
 def assemble_batch(hosts: DataFrame, on_error: str = "raise", col: str = "domain", **options) -> DataFrame:
@@ -105,9 +108,3 @@ def matrix_metadata(df: DataFrame) -> DataFrame:
         F.lit(",".join(CATEGORICAL_FEATURES)).alias("categorical_features"),
         F.coalesce(rate, F.lit(0.0)).alias("network_features_available_rate"),
         F.count_if(F.col("label") == 0).alias("benign"), F.count_if(F.col("label") == 1).alias("malicious"))
-
-
-def unusable(hosts: DataFrame, col: str = "domain") -> DataFrame:
-    """Rows a strict batch would reject, with the reason."""
-    return validate_domains(hosts, col).where(F.col("error_code").isNotNull()).drop("clean")
-

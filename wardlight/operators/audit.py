@@ -80,11 +80,17 @@ def top_malicious(log: DataFrame, k: int = 10) -> DataFrame:
             .orderBy(F.desc("n"), "domain").limit(k))
 
 
-def recent_analyses(log: DataFrame, limit: int = 50, label: str | None = None, tie: str = "domain") -> DataFrame:
-    """Newest first; only flagged labels may be asked for."""
+def recent_analyses(log: DataFrame, limit: int = 50, label: str | None = None, tie: str = "domain",
+                    most: int = MAX_RECENT) -> DataFrame:
+    """The ``limit`` newest, newest first; only flagged labels may be asked for.
+
+    A ``limit`` above ``most`` raises: no caller gets fewer rows than asked for.
+    """
+    if limit > most:
+        raise ValueError(f"at most {most} rows, not {limit}")
     if label is not None:
         log = log.where(F.col("label") == label) if label in ("suspicious", "malicious") else log.limit(0)
-    return log.orderBy(F.desc("created_at"), tie).limit(min(limit, MAX_RECENT))
+    return log.orderBy(F.desc("created_at"), tie).limit(limit)
 
 
 def cache_stats(entries: DataFrame, now: Column) -> DataFrame:

@@ -9,7 +9,6 @@ model, not by the data, and is checked before it is shipped to tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,8 +18,8 @@ from pyspark.sql import functions as F
 from wardlight.functions.scores import clamp01, score_to_confidence, score_to_label
 from wardlight.schemas import FEATURE_NAMES
 
+# Default bound on the rows of a model that are shipped to tasks; a parameter where used.
 MAX_NODES = 2_000_000
-EXPRESSION_LEAVES = 512
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int,"
                " value double, weight double")
 
@@ -29,32 +28,52 @@ def sigmoid(margin: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-margin))
 
 
-def score_leaf_boxes(df: DataFrame, leaves: DataFrame, base: float = 0.0) -> DataFrame:
+def score_leaf_boxes(df: DataFrame, leaves: DataFrame, base: float = 0.0, max_rows: int = MAX_NODES) -> DataFrame:
     """Adds ``margin`` and ``score`` from leaf boxes.
 
     ``leaves``: (tree, leaf, feature, low, high, value), one row per bounded
     feature of a leaf; a row falls into the leaf when low <= x < high for all.
-    The boxes become one expression per leaf, so nothing is joined.
+    Map-only: Arrow batches against the broadcast boxes, of which there may be
+    ``max_rows`` rows (a model's size, not the data's).
     """
-    rows = leaves.orderBy("tree", "leaf", "feature").limit(EXPRESSION_LEAVES * 64 + 1).collect()
-    boxes: dict[tuple, list] = {}
-    for r in rows:
-        boxes.setdefault((r["tree"], r["leaf"]), []).append(r)
-    if len(boxes) > EXPRESSION_LEAVES or len(rows) > EXPRESSION_LEAVES * 64:
-        raise ValueError("ensemble too large for expressions; use score_nodes with a node table")
-    terms = []
-    for bounds in boxes.values():
-        inside = reduce(lambda a, b: a & b, (
-            (F.col(b["feature"]) >= b["low"]) & (F.col(b["feature"]) < b["high"]) for b in bounds))
-        terms.append(F.when(inside, F.lit(bounds[0]["value"])).otherwise(0.0))
-    margin = reduce(lambda a, b: a + b, terms, F.lit(base))
-    return df.withColumn("margin", margin).withColumn("score", sigmoid(F.col("margin")))
-
-
-def _arrays(nodes: DataFrame) -> dict[str, np.ndarray]:
-    rows = nodes.limit(MAX_NODES + 1).toPandas().sort_values(["tree", "node"])
-    if len(rows) > MAX_NODES:
-        raise ValueError(f"ensemble has more than {MAX_NODES} nodes")
+    shared = df.sparkSession.sparkContext.broadcast(_boxes(leaves, max_rows))
+    names = shared.value["names"]
+
+    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        box = shared.value
+        for batch in batches:
+            x = np.stack(batch.to_numpy()).astype(float) if len(batch) else np.zeros((0, len(names)))
+            margin = np.full(len(x), base)
+            for start, stop, value in zip(box["starts"], box["stops"], box["values"], strict=True):
+                live = np.arange(len(x))
+                for f, low, high in zip(box["feature"][start:stop], box["low"][start:stop], box["high"][start:stop], strict=True):
+                    live = live[(x[live, f] >= low) & (x[live, f] < high)]
+                margin[live] += value
+            yield pd.Series(margin)
+
+    values = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(float("nan"))) for n in names]) if names else \
+        F.array().cast("array<double>")
+    scored = df.withColumn("margin", F.pandas_udf(inside, "double")(values))
+    return scored.withColumn("score", sigmoid(F.col("margin")))
+
+
+def _boxes(leaves: DataFrame, max_rows: int) -> dict:
+    rows = leaves.limit(max_rows + 1).toPandas().sort_values(["tree", "leaf", "feature"])
+    if len(rows) > max_rows:
+        raise ValueError(f"ensemble has more than {max_rows} bounds; raise max_rows if tasks can hold them")
+    names = sorted(rows["feature"].unique())
+    place = {n: i for i, n in enumerate(names)}
+    sizes = rows.groupby(["tree", "leaf"], sort=True).size().to_numpy()
+    stops = np.cumsum(sizes)
+    return {"names": names, "feature": rows["feature"].map(place).to_numpy(), "low": rows["low"].to_numpy(),
+            "high": rows["high"].to_numpy(), "starts": stops - sizes, "stops": stops,
+            "values": rows["value"].to_numpy()[stops - sizes] if len(rows) else np.zeros(0)}
+
+
+def _arrays(nodes: DataFrame, max_nodes: int) -> dict[str, np.ndarray]:
+    rows = nodes.limit(max_nodes + 1).toPandas().sort_values(["tree", "node"])
+    if len(rows) > max_nodes:
+        raise ValueError(f"ensemble has more than {max_nodes} nodes; raise max_nodes if tasks can hold them")
     sizes = rows.groupby("tree").size()
     offset = dict(zip(sizes.index, np.concatenate([[0], np.cumsum(sizes.to_numpy())[:-1]])))
     shift = rows["tree"].map(offset).to_numpy()
@@ -93,13 +112,14 @@ def _walk(x: np.ndarray, model: dict[str, np.ndarray], width: int, split_by_feat
 
 
 def score_nodes(df: DataFrame, nodes: DataFrame, features: str = "features",
-                contributions: bool = False, width: int = len(FEATURE_NAMES)) -> DataFrame:
+                contributions: bool = False, width: int = len(FEATURE_NAMES),
+                max_nodes: int = MAX_NODES) -> DataFrame:
     """Adds ``margin`` and ``score`` (and ``bias``, ``contributions``).
 
     Map-only: Arrow batches against a broadcast node table.  With
     contributions, bias + sum(contributions) equals the margin.
     """
-    shared = df.sparkSession.sparkContext.broadcast(_arrays(nodes))
+    shared = df.sparkSession.sparkContext.broadcast(_arrays(nodes, max_nodes))
     fields = "margin double, bias double, contributions array<double>"
 
     def walk(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardlight.reasons import ALTERNATIVE_TEXTS, MANY_KEYWORDS, ONE_KEYWORD, RULES
+from wardlight.reasons import MANY_KEYWORDS, ONE_KEYWORD, RULES
 from wardlight.schemas import CATEGORICAL_FEATURES, FEATURE_NAMES, NETWORK_FEATURES
 
 MIN_SHARE = 0.01
@@ -161,9 +161,5 @@ def explain_long(df: DataFrame, key: str = "row_key", top_k: int = TOP_REASONS)
 
 
 def alternative_text(feature: Column, value_text: Column) -> Column:
-    """Second wording of a feature's reason with its value filled in."""
-    chain = F
-    for name, template in ALTERNATIVE_TEXTS.items():
-        filled = F.replace(F.lit(template), F.lit("{value}"), value_text) if "{value}" in template else F.lit(template)
-        chain = chain.when(feature == name, filled)
-    return chain.otherwise(F.lit(None).cast("string"))
+    """A short wording that works for any feature: its name and value."""
+    return F.concat(F.replace(feature, F.lit("_"), F.lit(" ")), F.lit(" ("), value_text, F.lit(") raised the score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from wardlight.session import checkpoint, scratch_path
 
 TEST_SHARE, VALIDATION_SHARE = 0.2, 0.1
 IMBALANCE, MINORITY_RATIO, NEIGHBOURS = 0.10, 0.5, 5
-BLOCK_ROWS = 2_000
+TABLES, REACH, ROWS_PER_RANGE = 8, 32, 100_000
 HISTOGRAM = 4096
 
 
@@ -104,79 +105,99 @@ def oversample_plan(df: DataFrame, mode: str = "auto", threshold: float = IMBALA
 
 def oversample(df: DataFrame, mode: str = "auto", key: str = "domain", label: str = "label", seed: int = 42,
                continuous: list[str] = CONTINUOUS_FEATURES, categorical: list[str] = CATEGORICAL_FEATURES,
-               block_rows: int = BLOCK_ROWS, **rule) -> DataFrame:
-    """Adds interpolated minority rows (``synthetic`` marks them).
+               tables: int = TABLES, reach: int = REACH, **rule) -> DataFrame:
+    """Adds interpolated minority rows (``synthetic`` marks them); keys must be unique.
 
-    Neighbours are searched inside blocks of about ``block_rows`` minority
-    rows; with no more than that the search is exact.  Beyond it, rows are
-    grouped by which of their features exceed the mean and oversized groups
-    are spread over salts, so no task ever compares a whole class.
+    A row's neighbours are the nearest of those within ``reach`` places of it in any of
+    ``tables`` orders, each by a random projection of all continuous features; up to
+    ``reach`` + 1 minority rows that is an exact search.  The method is the same for any
+    number of rows: the orders are range sorted over tasks and no bucket is a group.
     """
     plan = oversample_plan(df, mode, label=label, **rule).first()
     real = df.withColumn("synthetic", F.lit(False))
     if not plan["resample"]:
         return real
     minority = df.where(F.col(label) == plan["minority_label"])
-    stats = minority.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in continuous],
-                         *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in continuous]).first()
-    spread = sorted(stats[f"s_{c}"] or 0.0 for c in continuous)
+    stats = minority.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in continuous]).first()
+    spread = [stats[c] or 0.0 for c in continuous]
     penalty = float(np.median(spread)) ** 2
     base, extra = divmod(plan["n_new"], plan["n_minority"])
     first = exact_split(minority, extra / plan["n_minority"], f"extra-{seed}", key, label, "_more")
-    rows = first.withColumn("_copies", F.lit(base) + F.col("_more").cast("int")).drop("_more")
-    rows = _blocks(rows, key, continuous, stats, plan["n_minority"], block_rows)
-    schema = df.select(*[F.col(c).cast("double").alias(c) if c in continuous else F.col(c) for c in df.columns]).schema
-    made = rows.groupBy("_block").applyInPandas(
-        _synthesizer(df.columns, key, continuous, categorical, int(plan["k_neighbors"]), penalty, seed), schema)
-    made = made.select(*[F.col(c).cast(df.schema[c].dataType) if c not in continuous else F.col(c) for c in df.columns])
+    rows = first.withColumn("_copies", F.lit(base) + F.col("_more").cast("int"))
+    k = int(plan["k_neighbors"])
+    near = _nearest(rows, key, continuous, categorical, spread, penalty, k, seed, tables, reach, plan["n_minority"])
+    made = near.groupBy("key").applyInPandas(
+        _synthesizer(continuous, categorical, k, seed), "key string, number int, x array<double>, cats array<string>")
+    fixed = {c: F.get("x", F.lit(i)) for i, c in enumerate(continuous)} | {
+        c: F.get("cats", F.lit(i)) for i, c in enumerate(categorical)}
+    kinds = dict(df.dtypes)
+    fixed |= {key: F.concat_ws("#", "key", "number") if kinds[key] == "string" else F.col("key"),
+              label: F.lit(plan["minority_label"])}
+    columns = [fixed.get(c, F.lit(None)).cast("double" if c in continuous else kinds[c]).alias(c) for c in df.columns]
     real = real.withColumns({c: F.col(c).cast("double") for c in continuous})
-    return real.unionByName(made.withColumn("synthetic", F.lit(True)))
-
-
-def _blocks(rows: DataFrame, key: str, continuous, stats, n_rows: int, block_rows: int) -> DataFrame:
-    if n_rows <= block_rows:
-        return rows.withColumn("_block", F.lit("all"))
-    varied = [c for c in continuous if (stats[f"s_{c}"] or 0) > 0][:12]
-    bits = [F.when(F.col(c) > stats[f"m_{c}"], "1").otherwise("0") for c in varied] or [F.lit("0")]
-    rows = rows.withColumn("_cell", F.concat(*bits))
-    parts = rows.groupBy("_cell").agg(F.ceil(F.count("*") / block_rows).alias("_parts"))  # at most 4096 rows
-    salt = F.floor(hash_fraction("block", F.col(key)) * F.col("_parts"))
-    return rows.join(F.broadcast(parts), "_cell").withColumn(
-        "_block", F.concat_ws("-", "_cell", salt.cast("string"))).drop("_cell", "_parts")
-
-
-def _synthesizer(columns, key, continuous, categorical, k, penalty, seed):
+    return real.unionByName(made.select(*columns).withColumn("synthetic", F.lit(True)))
+
+
+def _nearest(rows, key, continuous, categorical, spread, penalty, k, seed, tables, reach, n_rows) -> DataFrame:
+    """(key, other, gap, x, cats, other_x, other_cats, copies): near rows of each row that is copied."""
+    scale = np.array([1 / s if s else 0.0 for s in spread])
+    ways = np.random.default_rng(seed).standard_normal((tables, len(continuous))) * scale
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"].to_numpy())
+                for t in range(tables):
+                    yield pdf.assign(table=t, place=x @ ways[t])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        for _, pdf in pd.concat(held, ignore_index=True).groupby("table"):
+            pdf = pdf.reset_index(drop=True)
+            n = len(pdf)
+            x, cats = np.stack(pdf["x"].to_numpy()), np.stack(pdf["cats"].to_numpy())
+            gaps = np.full((n, 2 * reach), np.inf)
+            for o in range(1, min(reach, n - 1) + 1):
+                gap = ((x[o:] - x[:-o]) ** 2).sum(1) + penalty * (cats[o:] != cats[:-o]).sum(1)
+                gaps[:-o, o - 1] = gap
+                gaps[o:, reach + o - 1] = gap
+            best = np.argsort(gaps, axis=1, kind="stable")[:, :k]
+            i, j = np.nonzero(np.isfinite(np.take_along_axis(gaps, best, 1)))
+            step = best[i, j]
+            other = i + np.where(step < reach, step + 1, reach - step - 1)
+            use = pdf["_copies"].to_numpy()[i] > 0
+            i, other, step = i[use], other[use], step[use]
+            yield pd.DataFrame({
+                "key": pdf["key"].to_numpy()[i], "other": pdf["key"].to_numpy()[other], "gap": gaps[i, step],
+                "x": list(x[i]), "cats": list(cats[i]), "other_x": list(x[other]), "other_cats": list(cats[other]),
+                "copies": pdf["_copies"].to_numpy()[i]})
+
+    shape = "key string, x array<double>, cats array<string>, _copies long"
+    slim = rows.select(
+        F.col(key).cast("string").alias("key"), F.array(*[F.col(c).cast("double") for c in continuous]).alias("x"),
+        F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical]).cast("array<string>").alias("cats"),
+        F.col("_copies").cast("long").alias("_copies"))
+    ranges = max(1, -(-n_rows * tables // ROWS_PER_RANGE))
+    ordered = (slim.mapInPandas(project, f"{shape}, table int, place double")
+               .repartitionByRange(ranges, "table", "place", "key").sortWithinPartitions("table", "place", "key"))
+    return ordered.mapInPandas(compare, "key string, other string, gap double, x array<double>, cats array<string>,"
+                                        " other_x array<double>, other_cats array<string>, copies long")
+
+
+def _synthesizer(continuous, categorical, k, seed):
+    """For one row and its near rows (at most ``k`` from each order): its copies."""
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = pdf[continuous].to_numpy(dtype=float)
-        coded = {c: pd.factorize(pdf[c], sort=True) for c in categorical}
-        squares, copies = (x ** 2).sum(1), pdf["_copies"].to_numpy()
-        base, other, step = [], [], []
-        modes: dict[str, list] = {c: [] for c in categorical}
-        for i in np.flatnonzero(copies > 0):
-            gap = squares + squares[i] - 2 * x @ x[i]
-            for codes, _ in coded.values():
-                gap = gap + penalty * (codes != codes[i])
-            gap[i] = np.inf
-            near = np.argsort(gap, kind="stable")[:min(k, len(pdf) - 1)]
-            near = near if len(near) else np.array([i])
-            rng = np.random.default_rng([seed, zlib.crc32(str(pdf[key][i]).encode())])
-            n = copies[i]
-            base.append(np.full(n, i))
-            other.append(rng.choice(near, n))
-            step.append(rng.random(n))
-            for c, (codes, _) in coded.items():
-                modes[c].append(np.full(n, np.bincount(codes[near]).argmax()))
-        if not base:
-            return pd.DataFrame(columns=columns)
-        i, j, u = np.concatenate(base), np.concatenate(other), np.concatenate(step)
-        out = pdf.loc[i, columns].reset_index(drop=True)
-        out[continuous] = x[i] + u[:, None] * (x[j] - x[i])
-        for c, (_, values) in coded.items():
-            out[c] = np.asarray(values)[np.concatenate(modes[c])]
-        number = pd.Series(i).groupby(i).cumcount().astype(str)
-        out[key] = pdf[key].astype(str).to_numpy()[i] + "#" + number if pdf[key].dtype == object else out[key]
-        return out
+        pdf = pdf.drop_duplicates("other").sort_values(["gap", "other"]).head(k)
+        n, own = int(pdf["copies"].iloc[0]), np.asarray(pdf["x"].iloc[0])
+        rng = np.random.default_rng([seed, zlib.crc32(pdf["key"].iloc[0].encode())])
+        others = np.stack(pdf["other_x"].to_numpy())
+        x = own + rng.random(n)[:, None] * (others[rng.integers(len(others), size=n)] - own)
+        names = np.stack(pdf["other_cats"].to_numpy()) if categorical else np.zeros((len(pdf), 0), object)
+        modes = [pd.Series(names[:, c]).mode().iloc[0] for c in range(len(categorical))]
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "number": np.arange(n, dtype=np.int32), "x": list(x),
+                             "cats": [modes] * n})
 
     return make
 

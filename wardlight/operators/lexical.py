@@ -105,8 +105,3 @@ def _with_distance(df: DataFrame, popular: DataFrame | list | None) -> DataFrame
     pool, sld = names_literal(names), F.col("sld")
     return df.withColumns({"typosquat_distance": least_distance(sld, pool),
                            "similar_domain": nearest_name(sld, pool)["n"]})
-
-
-def structural_values(df: DataFrame, key: list[str]) -> DataFrame:
-    """Key columns, then the features in contract order."""
-    return df.select(*key, *STRUCTURAL_FEATURES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.scores import whole_days
+from wardlight.functions.scores import NETWORK_TTL_SECONDS, whole_days
 from wardlight.functions.text import contains_any, flag, strip
 from wardlight.lexicon import COMMON_REGISTRARS, PRIVACY_KEYWORDS
 from wardlight.schemas import NETWORK_DEFAULTS, UNKNOWN
@@ -13,17 +13,29 @@ from wardlight.schemas import NETWORK_DEFAULTS, UNKNOWN
 # Thresholds of the derived flags.
 FAST_FLUX_TTL, FAST_FLUX_RECORDS = 300, 3
 NEW_DOMAIN_DAYS = 30
+WHOIS_TEXTS = ["text", "registrar", "registrant", "org", "name", "emails"]
 
 
-def dns_features(dns_obs: DataFrame) -> DataFrame:
-    """One row per host from long-form records: one shuffle, combined map-side."""
+def dns_features(dns_obs: DataFrame, as_of: Column, max_age_seconds: int = NETWORK_TTL_SECONDS) -> DataFrame:
+    """One row per host from its newest snapshot in (as_of - max age, as_of].
+
+    The records of a host with one ``observed_at`` are one snapshot.  A record seen
+    several times in it counts once; earlier looks don't add up, later ones aren't
+    known yet.  Old rows are cut before the first shuffle; a record is merged before
+    it is moved.
+    """
     def of(rtype: str) -> Column:
         return F.count_if(F.col("rtype") == rtype)
 
+    age = F.unix_micros(as_of) - F.unix_micros("observed_at")
+    recent = dns_obs.where((age >= 0) & (age < max_age_seconds * 1_000_000))
+    records = recent.groupBy("host", "observed_at", "rtype", "rdata").agg(F.min("ttl").alias("ttl"))
     ttl = F.min(F.when(F.col("rtype") == "A", F.col("ttl")))
-    counts = dns_obs.groupBy("host").agg(
+    snapshots = records.groupBy("host", "observed_at").agg(
         of("A").alias("a"), of("AAAA").alias("aaaa"), of("MX").alias("mx"), of("NS").alias("ns"),
         of("TXT").alias("txt"), F.coalesce(ttl, F.lit(-1)).cast("int").alias("dns_ttl"))
+    newest = F.max_by(F.struct("a", "aaaa", "mx", "ns", "txt", "dns_ttl"), "observed_at")
+    counts = snapshots.groupBy("host").agg(newest.alias("_s")).select("host", "_s.*")
     c = F.col
     low_ttl = (c("dns_ttl") >= 0) & (c("dns_ttl") < FAST_FLUX_TTL)
     return counts.select(
@@ -35,8 +47,9 @@ def dns_features(dns_obs: DataFrame) -> DataFrame:
         flag(c("a") + c("aaaa") + c("mx") + c("ns") + c("txt") > 0).alias("dns_resolves"))
 
 
-def latest_whois(whois_obs: DataFrame, tie: str | None = None) -> DataFrame:
-    """Newest record per registrable domain (map-side combined)."""
+def latest_whois(whois_obs: DataFrame, as_of: Column, tie: str | None = None) -> DataFrame:
+    """Newest record per registrable domain at or before ``as_of`` (map-side combined)."""
+    whois_obs = whois_obs.where(F.col("observed_at") <= as_of)
     rest = [c for c in whois_obs.columns if c != "registrable"]
     order = F.struct("observed_at", tie) if tie else F.col("observed_at")
     return (whois_obs.groupBy("registrable").agg(F.max_by(F.struct(*rest), order).alias("_r"))
@@ -44,12 +57,16 @@ def latest_whois(whois_obs: DataFrame, tie: str | None = None) -> DataFrame:
 
 
 def whois_features(whois_obs: DataFrame, as_of: Column) -> DataFrame:
-    """WHOIS features per record; list-valued dates read their first entry."""
+    """WHOIS features per record; list-valued dates read their first entry.
+
+    Privacy words are searched in all texts of the record that the table has.
+    """
+    texts = [c for c in WHOIS_TEXTS if c in whois_obs.columns]
     created, expires = F.get("creation", F.lit(0)), F.get("expiration", F.lit(0))
     staged = whois_obs.withColumns({
         "_age": whole_days(as_of, created), "_left": whole_days(expires, as_of),
         "_length": whole_days(expires, created),
-        "_blob": F.lower(F.concat_ws(" ", "text", "registrar", "org", "name", "emails"))})
+        "_blob": F.lower(F.concat_ws(" ", *texts))})
     c = F.col
     country = F.lower(strip(c("country")))
     return staged.select(
@@ -76,20 +93,21 @@ def with_availability(df: DataFrame) -> DataFrame:
     return df.withColumn("network_features_available", flag(seen))
 
 
-def network_features(hosts: DataFrame, dns_obs: DataFrame, whois_obs: DataFrame, as_of: Column,
+def network_features(hosts: DataFrame, dns_obs: DataFrame | None, whois_obs: DataFrame | None, as_of: Column,
                      host_col: str = "host", registrable_col: str = "registrable",
                      tie: str | None = None) -> DataFrame:
-    """Left-joins both feature sets to ``hosts`` and fills the defaults.
+    """Left-joins the feature sets that are given to ``hosts`` and fills the defaults.
 
-    Both right sides hold one row per key, so a host that many rows share
+    Right sides hold one row per key, so a host that many rows share
     fans out on the left only, where AQE can split it.
     """
-    dns = dns_features(dns_obs).withColumnRenamed("host", "_dns_host")
-    whois = whois_features(latest_whois(whois_obs, tie), as_of).withColumnRenamed(
-        "registrable", "_registrable")
-    joined = (hosts.join(dns, F.col(host_col) == F.col("_dns_host"), "left")
-              .join(whois, F.col(registrable_col) == F.col("_registrable"), "left")
-              .drop("_dns_host", "_registrable"))
+    joined = hosts
+    if dns_obs is not None:
+        dns = dns_features(dns_obs, as_of).withColumnRenamed("host", "_dns_host")
+        joined = joined.join(dns, F.col(host_col) == F.col("_dns_host"), "left").drop("_dns_host")
+    if whois_obs is not None:
+        whois = whois_features(latest_whois(whois_obs, as_of, tie), as_of).withColumnRenamed("registrable", "_registrable")
+        joined = joined.join(whois, F.col(registrable_col) == F.col("_registrable"), "left").drop("_registrable")
     return with_availability(apply_network_defaults(joined))
 
 

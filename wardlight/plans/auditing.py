@@ -212,7 +212,7 @@ def recent_analyses(spark, sf):
 
 @query("tk1_recent_all_labels", with_inputs("analyses", "SELECT event_id, domain, label FROM analyses ORDER BY created_at DESC, event_id LIMIT 500"))
 def recent_all(spark, sf):
-    return A.recent_analyses(adapted(spark, sf, "analyses"), 9999, None, "event_id").select("event_id", "domain", "label")
+    return A.recent_analyses(adapted(spark, sf, "analyses"), A.MAX_RECENT, None, "event_id").select("event_id", "domain", "label")
 
 
 _ENTRIES = f"SELECT *, cached_at + {_TTL} AS expires_at FROM cache_sets"

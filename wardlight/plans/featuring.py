@@ -13,10 +13,10 @@ from wardlight.plans import ducktext as D
 from wardlight.plans.parsing import CLEANED, PREPARED, cleaned, rounded
 from wardlight.plans.registry import query, with_inputs
 from wardlight.schemas import (
-    CATEGORICAL_FEATURES, FEATURE_NAMES, NETWORK_DEFAULTS, NETWORK_FEATURES, STRUCTURAL_FEATURES)
+    CATEGORICAL_FEATURES, CONTINUOUS_FEATURES, FEATURE_NAMES, NETWORK_DEFAULTS, NETWORK_FEATURES, STRUCTURAL_FEATURES)
 from wardlight.sources.adapters import adapted
 
-AS_OF = "2000-01-15 12:00:00"
+AS_OF = "2024-01-20 12:00:00"
 REPORT_COLUMNS = ["tld", "domain_length", "entropy", "typosquat_distance", *NETWORK_FEATURES]
 
 
@@ -30,12 +30,15 @@ def whois_obs(spark, sf) -> DataFrame:
         "emails": F.array("email")})
 
 
-DNS = """SELECT host, (a > 0)::INT AS has_a_record, a::INT AS num_a_records, (mx > 0)::INT AS has_mx_record,
+DNS = f"""SELECT host, (a > 0)::INT AS has_a_record, a::INT AS num_a_records, (mx > 0)::INT AS has_mx_record,
   (ns > 0)::INT AS has_ns_record, ns::INT AS num_ns_records, (txt > 0)::INT AS has_txt_record, ttl::INT AS dns_ttl,
   (ttl BETWEEN 0 AND 299 AND a > 3)::INT AS is_fast_flux, (aaaa > 0)::INT AS has_ipv6, 1 AS dns_resolves FROM
   (SELECT host, count_if(rtype = 'A') AS a, count_if(rtype = 'AAAA') AS aaaa, count_if(rtype = 'MX') AS mx,
      count_if(rtype = 'NS') AS ns, count_if(rtype = 'TXT') AS txt, coalesce(min(ttl) FILTER (rtype = 'A'), -1) AS ttl
-   FROM dns_obs GROUP BY host)"""
+   FROM (SELECT DISTINCT ON (host, rtype, rdata) host, rtype, rdata, ttl FROM
+      (SELECT *, dense_rank() OVER (PARTITION BY host ORDER BY observed_at DESC) AS look FROM dns_obs
+       WHERE observed_at > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR AND observed_at <= TIMESTAMP '{AS_OF}')
+      WHERE look = 1 ORDER BY host, rtype, rdata, ttl) GROUP BY host)"""
 
 
 def _days(a: str, b: str) -> str:
@@ -52,9 +55,9 @@ WHOIS = f"""SELECT obs_id, registrable, CASE WHEN age >= 0 THEN age ELSE -1 END
   CASE WHEN len >= 0 THEN len ELSE -1 END AS registration_length_days,
   coalesce({_any('lower(registrar)', COMMON_REGISTRARS)}, 0) AS registrar_is_common,
   coalesce(nullif(lower(trim(country)), ''), 'unknown') AS whois_country,
-  {_any("lower(concat_ws(' ', text, registrar, org, name, email))", PRIVACY_KEYWORDS)} AS whois_privacy_enabled
+  {_any("lower(concat_ws(' ', text, registrar, registrant, org, name, email))", PRIVACY_KEYWORDS)} AS whois_privacy_enabled
   FROM (SELECT *, {_days(_T, 'creation')} AS age, {_days('expiration', _T)} AS lft, {_days('expiration', 'creation')} AS len FROM latest)"""
-LATEST = "SELECT * FROM whois_obs QUALIFY row_number() OVER (PARTITION BY registrable ORDER BY observed_at DESC, obs_id DESC) = 1"
+LATEST = f"SELECT * FROM whois_obs WHERE observed_at <= {_T} QUALIFY row_number() OVER (PARTITION BY registrable ORDER BY observed_at DESC, obs_id DESC) = 1"
 DEFAULTED = ", ".join(
     f"coalesce({c}, {repr(v)}) AS {c}" for c, v in NETWORK_DEFAULTS.items() if c != "network_features_available")
 AVAILABLE = ("(dns_resolves = 1 OR domain_age_days <> -1 OR whois_country <> 'unknown')::INT AS network_features_available")
@@ -67,12 +70,12 @@ def _net_sql(hosts: str, keep: str) -> str:
 
 @query("nf1_dns_features", with_inputs("dns_obs", DNS))
 def dns_features(spark, sf):
-    return N.dns_features(adapted(spark, sf, "dns_obs"))
+    return N.dns_features(adapted(spark, sf, "dns_obs"), as_of())
 
 
 @query("nf4_whois_features", with_inputs("whois_obs", "SELECT * EXCLUDE (obs_id) FROM whois", latest=LATEST, whois=WHOIS))
 def whois_features(spark, sf):
-    return N.whois_features(N.latest_whois(whois_obs(spark, sf), "obs_id"), as_of())
+    return N.whois_features(N.latest_whois(whois_obs(spark, sf), as_of(), "obs_id"), as_of())
 
 
 @query("nf4_whois_features_all_records", with_inputs("whois_obs", "SELECT * EXCLUDE (obs_id) FROM whois",
@@ -170,12 +173,10 @@ def pending_domains(spark, sf):
     return A.pending(domains, domains.where(F.length("domain") % 2 == 0))
 
 
-@query("asm5_vector_to_long", with_inputs("asset_hosts", f"""UNPIVOT (SELECT row_id, {', '.join(c + '::DOUBLE AS ' + c for c in STRUCTURAL_FEATURES if c != 'tld')} FROM lex)
-  ON {', '.join(c for c in STRUCTURAL_FEATURES if c != 'tld')} INTO NAME feature VALUE value""",
-    hosts=_ASSET, parted=D.parts("hosts"), lex=D.structural("parted", "row_id")))
+@query("asm5_vector_to_long", with_inputs(_INPUTS, f"""UNPIVOT (SELECT row_id, {', '.join(c + '::DOUBLE AS ' + c for c in CONTINUOUS_FEATURES)} FROM net)
+  ON {', '.join(CONTINUOUS_FEATURES)} INTO NAME feature VALUE value""", **_ASSET_CTES, net=_NET))
 def vector_to_long(spark, sf):
-    wide = rounded(assembled(spark, sf, include_network=False))
-    return A.vector_to_long(wide, ["row_id"], [c for c in STRUCTURAL_FEATURES if c != "tld"])
+    return A.vector_to_long(rounded(assembled(spark, sf)), ["row_id"], CONTINUOUS_FEATURES)
 
 
 @query("snk2_matrix_metadata", with_inputs(_INPUTS, f"""SELECT count(*) AS n_rows, 48 AS n_features, '{','.join(FEATURE_NAMES)}' AS feature_names,

@@ -13,7 +13,8 @@ from wardlight.plans import ducktext as D
 from wardlight.plans.registry import query, with_inputs
 from wardlight.schemas import REAL_FEATURES, STRUCTURAL_FEATURES
 from wardlight.sources.adapters import adapted, table
-from wardlight.sources.dims import load_dim, popular_from_visits
+from wardlight.session import scratch_path
+from wardlight.sources.dims import load_dim, load_popular, popular_from_visits
 
 HOSTS = f"SELECT row_id, domain, {D.host('domain')} AS host FROM raw_hosts"
 PARTED = D.parts("hosts")
@@ -212,6 +213,20 @@ def check_vector(spark, sf):
     return clean.infinite_rows(rows, ["a", "b"]).select("event_id", "n_infinite")
 
 
+@query("cln5_check_vector_passes", "SELECT event_id, value FROM events")
+def check_vector_passes(spark, sf):
+    """Vectors without infinite values come through as they are."""
+    return clean.check_vector(table(spark, sf, "events").select("event_id", "value"), ["value", "event_id"])
+
+
+@query("src4_popular_file", with_inputs("visits", "SELECT DISTINCT split_part(domain, '.', 1) AS name FROM visits"))
+def popular_file(spark, sf):
+    """A ranked file of domains, written and read back as names."""
+    path = scratch_path(spark, "popular")
+    adapted(spark, sf, "visits").groupBy("domain").agg(F.count("*").alias("n")).select("n", "domain").write.csv(path)
+    return load_popular(spark, path)
+
+
 @query("sf_structural_features", with_inputs("raw_hosts", D.structural("parted", "row_id"), hosts=HOSTS, parted=PARTED))
 def structural(spark, sf):
     feats = structural_features(adapted(spark, sf, "raw_hosts"))
@@ -229,14 +244,13 @@ def structural_pages(spark, sf):
 
 
 @query("sf3_suspicious_hosts_by_length", with_inputs("raw_hosts", """SELECT host, domain_length, tld, row_id FROM f
-  WHERE tld_is_suspicious = 1 ORDER BY domain_length DESC, row_id LIMIT 50""",
+  WHERE tld_is_suspicious = 1""",
     hosts=HOSTS, parted=PARTED, f=f"SELECT host, tld, row_id, length(host)::INT AS domain_length,"
     f" list_contains({D.words(['xyz', 'top', 'online'])}, tld)::INT AS tld_is_suspicious FROM parted"))
 def suspicious_by_length(spark, sf):
-    """The fifty longest hosts under a high-abuse suffix (a top-k report)."""
+    """Every host under a high-abuse suffix, with its length."""
     feats = structural_features(adapted(spark, sf, "raw_hosts"))
-    return (feats.where(F.col("tld_is_suspicious") == 1).select("host", "domain_length", "tld", "row_id")
-            .orderBy(F.desc("domain_length"), "row_id").limit(50))
+    return feats.where(F.col("tld_is_suspicious") == 1).select("host", "domain_length", "tld", "row_id")
 
 
 @query("sf13_context_columns", with_inputs("raw_hosts", f"""SELECT row_id,
@@ -285,3 +299,17 @@ def sql_functions(spark, sf):
     register_sql_functions(spark)
     return spark.sql("""SELECT row_id, host_of(domain) AS host, round(domain_entropy(host_of(domain)), 9) AS entropy,
         looks_like_ip(host_of(domain)) AS ip_like FROM {raw}""", raw=adapted(spark, sf, "raw_hosts"))
+
+
+@query("sql_functions_scores", with_inputs("analyses", """SELECT event_id, regexp_replace(lower(domain), '^www\\.', '') AS curated, label AS risk_label,
+  CASE WHEN s >= 0.8 THEN 'alert' WHEN s >= 0.5 THEN 'caution' ELSE 'silent' END AS risk_tier,
+  CASE WHEN greatest(s, 1 - s) >= 0.8 THEN 'high' WHEN greatest(s, 1 - s) >= 0.65 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN label = 'safe' THEN 3600 ELSE 900 END AS ttl, lower(domain) || ':80' AS authority FROM (SELECT *, score AS s FROM analyses)"""))
+def sql_score_functions(spark, sf):
+    """The functions over names and scores that the query above doesn't call."""
+    from wardlight.functions.sqlfuncs import register_sql_functions
+
+    register_sql_functions(spark)
+    return spark.sql("""SELECT event_id, curated_key('www.' || domain) AS curated, risk_label(score) AS risk_label,
+        risk_tier(score) AS risk_tier, risk_confidence(score) AS confidence, verdict_ttl(label) AS ttl,
+        authority_of('http://u@' || domain || ':80/x') AS authority FROM {log}""", log=adapted(spark, sf, "analyses"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.operators import encode as E
 from wardlight.operators import ensembles as N
 from wardlight.operators import explain as X
 from wardlight.operators import hooks as K
@@ -13,10 +14,10 @@ from wardlight.operators.lexical import structural_features
 from wardlight.operators.lookups import known_lookup, known_verdict, route_verdicts
 from wardlight.plans import ducktext as D
 from wardlight.plans.auditing import _KNOWN, known
-from wardlight.plans.featuring import _ASSET_CTES, _INPUTS, _NET, as_of, assembled, whois_obs
+from wardlight.plans.featuring import _ASSET_CTES, _INPUTS, _NET, _PAIRS, as_of, assembled, token_rows, whois_obs
 from wardlight.plans.parsing import HOSTS, PARTED
 from wardlight.plans.registry import query, with_inputs
-from wardlight.reasons import ALTERNATIVE_TEXTS, RULES
+from wardlight.reasons import RULES
 from wardlight.schemas import FEATURE_NAMES, NETWORK_FEATURES
 from wardlight.sources.adapters import adapted
 
@@ -57,6 +58,8 @@ NODES = [
     (2, 2, _F["num_digits"], 3.5, 3, 4, 0.6, 1.0), (2, 3, -1, 0.0, -1, -1, 0.4, 1.0), (2, 4, -1, 0.0, -1, -1, 1.0, 1.0),
     (3, 0, _F["typosquat_distance"], 2.5, 1, 2, 0.1, 1.0), (3, 1, -1, 0.0, -1, -1, 0.9, 1.0),
     (3, 2, _F["has_mx_record"], 0.5, 3, 4, 0.0, 1.0), (3, 3, -1, 0.0, -1, -1, 0.15, 1.0), (3, 4, -1, 0.0, -1, -1, -0.3, 1.0),
+    (4, 0, _F["whois_country"], 9.5, 1, 2, 0.05, 1.0), (4, 1, -1, 0.0, -1, -1, -0.35, 1.0),
+    (4, 2, _F["tld"], 1.5, 3, 4, 0.3, 1.0), (4, 3, -1, 0.0, -1, -1, 0.2, 1.0), (4, 4, -1, 0.0, -1, -1, 0.7, 1.0),
 ]
 
 
@@ -90,45 +93,61 @@ def score_leaf_boxes(spark, sf):
     return scored.select("row_id", F.round("margin", 9).alias("margin"), F.round("score", 9).alias("score"))
 
 
+CONTEXT = ["matched_keywords", "brand", "similar_domain"]
+
+
 def vectors(spark, sf) -> DataFrame:
     """Assembled hosts with context columns and the numeric vector."""
-    wide = assembled(spark, sf, structural_fn=lambda d: structural_features(d, context=True)).select(
-        "row_id", "domain", *FEATURE_NAMES)
-    names = structural_features(adapted(spark, sf, "asset_hosts"), context=True).select(
-        "row_id", "matched_keywords", "brand", "similar_domain")
-    return numeric(wide).join(names, "row_id")
+    wide = assembled(spark, sf, structural_fn=lambda d: structural_features(d, context=True), extra=CONTEXT)
+    return numeric(spark, sf, wide)
+
+
+def numeric(spark, sf, wide: DataFrame) -> DataFrame:
+    """The 48 features as an array, text features by the codes of the fitted vocabulary."""
+    coded = E.apply_vocab(wide.withColumn("tld_text", F.col("tld")), E.fit_vocab(token_rows(spark, sf)))
+    return features_array(coded).drop("tld", "whois_country").withColumnRenamed("tld_text", "tld")
 
 
-def numeric(wide: DataFrame) -> DataFrame:
-    plain = wide.withColumns({"tld_text": F.col("tld"), "tld": F.lit(0), "whois_country": F.lit(0)})
-    return features_array(plain).drop("tld", "whois_country").withColumnRenamed("tld_text", "tld")
+def _code_sql(feature: str) -> str:
+    token = f"coalesce(nullif(lower(trim(net.{feature})), ''), 'unknown')"
+    known = f"(SELECT max(code) FROM vocab WHERE feature = '{feature}' AND token = {token})"
+    return f"coalesce({known}, (SELECT code FROM vocab WHERE feature = '{feature}' AND token = 'unknown')) AS {feature}"
 
 
-@query("ml9_predict_batch", with_inputs(_INPUTS, f"""SELECT row_id, round(s, 4) AS score,
+# The assembled features, and the same with codes in place of texts.
+_CODED_INPUTS = f"{_INPUTS} raw_hosts"
+_CODED = dict(
+    **_ASSET_CTES, net=_NET, vhosts=_PAIRS["hosts"], vparted=D.parts("vhosts"),
+    lexraw=_PAIRS["lexraw"].replace("parted", "vparted"), tokens=_PAIRS["tokens"], vocab=_PAIRS["vocab"],
+    coded=f"SELECT * REPLACE ({_code_sql('tld')}, {_code_sql('whois_country')}) FROM net")
+
+
+@query("ml9_predict_batch", with_inputs(_CODED_INPUTS, f"""SELECT row_id, round(s, 4) AS score,
   CASE WHEN s >= 0.8 THEN 'malicious' WHEN s >= 0.5 THEN 'suspicious' ELSE 'safe' END AS label,
   CASE WHEN greatest(s, 1 - s) >= 0.8 THEN 'high' WHEN greatest(s, 1 - s) >= 0.65 THEN 'medium' ELSE 'low' END AS confidence
-  FROM (SELECT row_id, 1 / (1 + exp(-({_tree_sql()}))) AS s FROM net)""", **_ASSET_CTES, net=_NET))
+  FROM (SELECT row_id, 1 / (1 + exp(-({_tree_sql()}))) AS s FROM coded)""", **_CODED))
 def predict_batch(spark, sf):
-    scored = N.score_nodes(numeric(assembled(spark, sf)), node_table(spark))
+    scored = N.score_nodes(numeric(spark, sf, assembled(spark, sf)), node_table(spark))
     return N.verdict_columns(scored).select("row_id", "score", "label", "confidence")
 
 
 _USED = sorted({FEATURE_NAMES[f] for _, _, f, *_ in NODES if f >= 0})
 
 
-@query("ml11_contributions", with_inputs(_INPUTS, " UNION ALL ".join(
-    f"SELECT row_id, '{n}' AS feature, round({_tree_sql(only=n)}, 9)::DOUBLE AS contribution FROM net" for n in _USED), **_ASSET_CTES, net=_NET))
+@query("ml11_contributions", with_inputs(_CODED_INPUTS, " UNION ALL ".join(
+    f"SELECT row_id, '{n}' AS feature, round({_tree_sql(only=n)}, 9)::DOUBLE AS contribution FROM coded" for n in _USED), **_CODED))
 def contributions(spark, sf):
-    scored = N.score_nodes(numeric(assembled(spark, sf)), node_table(spark), contributions=True)
+    scored = N.score_nodes(numeric(spark, sf, assembled(spark, sf)), node_table(spark), contributions=True)
     return (N.contributions_long(scored, ["row_id"]).where(F.col("feature").isin(*_USED))
             .select("row_id", "feature", F.round("contribution", 9).alias("contribution")))
 
 
-@query("ml11_additivity", with_inputs("asset_hosts", "SELECT row_id, true AS adds_up FROM asset_hosts"))
+@query("ml11_additivity", with_inputs(_CODED_INPUTS, f"SELECT row_id, round({_tree_sql()}, 6)::DOUBLE AS total FROM coded", **_CODED))
 def additivity(spark, sf):
-    scored = N.score_nodes(numeric(assembled(spark, sf)), node_table(spark), contributions=True)
+    """Bias plus contributions, against the margin of the trees."""
+    scored = N.score_nodes(numeric(spark, sf, assembled(spark, sf)), node_table(spark), contributions=True)
     total = F.aggregate("contributions", F.col("bias"), lambda a, c: a + c)
-    return scored.select("row_id", (F.abs(total - F.col("margin")) < 1e-9).alias("adds_up"))
+    return scored.select("row_id", F.round(total, 6).alias("total"))
 
 
 # --- reasons over a long contribution table ----------------------------------
@@ -191,11 +210,8 @@ def explain_top(spark, sf):
     return X.explain_long(pushed(spark, sf))
 
 
-_ALT = " ".join("WHEN '{}' THEN replace('{}', '{{value}}', value::BIGINT::VARCHAR)".format(n, t.replace("'", "''"))
-                for n, t in ALTERNATIVE_TEXTS.items())
-
-
-@query("sc10_alternative_texts", with_inputs("pushes", f"SELECT * FROM (SELECT row_key, feature, CASE feature {_ALT} END AS text FROM pushed) WHERE text IS NOT NULL", pushed=_PUSHED))
+@query("sc10_alternative_texts", with_inputs("pushes", """SELECT row_key, feature, replace(feature, '_', ' ') || ' (' || value::BIGINT::VARCHAR || ') raised the score' AS text
+  FROM pushed WHERE value IS NOT NULL""", pushed=_PUSHED))
 def alternative_texts(spark, sf):
     text = X.alternative_text(F.col("feature"), F.col("value").cast("long").cast("string"))
     return pushed(spark, sf).select("row_key", "feature", text.alias("text")).where("text IS NOT NULL")
@@ -204,20 +220,20 @@ def alternative_texts(spark, sf):
 def _wide_sql(ctx: bool) -> str:
     arrows = {n: _tree_sql(only=n) for n in _USED}
     longs = " UNION ALL ".join(
-        f"SELECT row_id AS row_key, '{n}' AS feature, {i} AS feature_no, {n}::DOUBLE AS value, {arrows[n]} AS contribution, network_features_available AS avail FROM net"
+        f"SELECT row_id AS row_key, '{n}' AS feature, {i} AS feature_no, {n}::DOUBLE AS value, {arrows[n]} AS contribution, network_features_available AS avail FROM coded"
         for i, n in enumerate(FEATURE_NAMES) if n in _USED)
     return longs
 
 
-@query("ml12_explain", with_inputs(_INPUTS, """SELECT row_id, label, coalesce(reasons, '') AS reasons FROM
+@query("ml12_explain", with_inputs(_CODED_INPUTS, """SELECT row_id, label, coalesce(reasons, '') AS reasons FROM
   (SELECT row_id, CASE WHEN s >= 0.8 THEN 'malicious' WHEN s >= 0.5 THEN 'suspicious' ELSE 'safe' END AS label FROM
-    (SELECT row_id, 1 / (1 + exp(-({tree}))) AS s FROM net)) v
+    (SELECT row_id, 1 / (1 + exp(-({tree}))) AS s FROM coded)) v
   LEFT JOIN (SELECT row_key, string_agg(text, '|' ORDER BY position) AS reasons FROM best WHERE position <= 3 GROUP BY row_key) b
-    ON b.row_key = row_id AND label <> 'safe'""".replace("{tree}", _tree_sql()), **_ASSET_CTES, net=_NET, pushed=_wide_sql(False),
+    ON b.row_key = row_id AND label <> 'safe'""".replace("{tree}", _tree_sql()), **_CODED, pushed=_wide_sql(False),
     ranked=_RANKED.replace("coalesce(max(value) FILTER (feature = 'network_features_available') OVER (PARTITION BY row_key) >= 0.5, true)", "avail >= 0.5"),
     told=_TOLD, best=_BEST))
 def explain(spark, sf):
-    scored = N.score_nodes(numeric(assembled(spark, sf)), node_table(spark), contributions=True)
+    scored = N.score_nodes(numeric(spark, sf, assembled(spark, sf)), node_table(spark), contributions=True)
     out = X.explain(N.verdict_columns(scored))
     return out.select("row_id", "label", F.array_join("reasons", "|").alias("reasons"))
 
@@ -237,7 +253,7 @@ def flagship(spark, sf, with_reasons: bool = True) -> DataFrame:
     listed, fresh = route_verdicts(hosts, curated)
     answered = known_verdict(known_lookup(listed, curated)).select(*columns)
     wide = assemble(fresh, adapted(spark, sf, "dns_obs"), whois_obs(spark, sf), as_of(), tie="obs_id")
-    scored = N.verdict_columns(N.score_nodes(numeric(wide), node_table(spark), contributions=with_reasons))
+    scored = N.verdict_columns(N.score_nodes(numeric(spark, sf, wide), node_table(spark), contributions=with_reasons))
     if not with_reasons:
         columns.remove("reasons")
         return answered.drop("reasons").unionByName(scored.select(*columns))
@@ -249,11 +265,11 @@ _ANSWERED = """SELECT row_id, domain, CASE WHEN e.verdict = 'safe' THEN 0.0 ELSE
 
 
 def _flagship_sql() -> str:
-    return with_inputs("asset_hosts known dns_obs whois_obs", f"""SELECT * FROM answered UNION ALL SELECT net.row_id, net.domain, round(s, 4),
+    return with_inputs("asset_hosts known dns_obs whois_obs raw_hosts", f"""SELECT * FROM answered UNION ALL SELECT net.row_id, net.domain, round(s, 4),
       CASE WHEN s >= 0.8 THEN 'malicious' WHEN s >= 0.5 THEN 'suspicious' ELSE 'safe' END,
       CASE WHEN greatest(s, 1 - s) >= 0.8 THEN 'high' WHEN greatest(s, 1 - s) >= 0.65 THEN 'medium' ELSE 'low' END
-      FROM (SELECT *, 1 / (1 + exp(-({_tree_sql()}))) AS s FROM net) net WHERE row_id NOT IN (SELECT row_id FROM answered)""",
-      **_KNOWN, **_ASSET_CTES, net=_NET, answered=_ANSWERED)
+      FROM (SELECT *, 1 / (1 + exp(-({_tree_sql()}))) AS s FROM coded) net WHERE row_id NOT IN (SELECT row_id FROM answered)""",
+      **_KNOWN, **_CODED, answered=_ANSWERED)
 
 
 @query("analyze_hosts", _flagship_sql())

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardlight.functions.scores import ttl_for_label
 from wardlight.plans import visiting as V
 from wardlight.plans.auditing import _CURRENT
 from wardlight.plans.registry import query, with_inputs
@@ -26,21 +27,12 @@ def stream_hosts(spark, sf):
     return S.run_to_table(S.stream_hosts(streamed(spark, sf, "nav")).select("event_id", "tab_id", "host"), "hosts")
 
 
-@query("st2_collapse_inflight")
+@query("st2_collapse_inflight", V.made_sql(3_600_000_000))
 def collapse_inflight(spark, sf):
-    return S.run_to_table(S.collapse_inflight(streamed(spark, sf, "visits")).select("domain", "event_id"), "inflight")
-
-
-@query("st3_cache_stream", V.replay_sql())
-def cache_stream(spark, sf):
-    """State lives in the RocksDB store, which this operator needs."""
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, S.ROCKSDB)
-    try:
-        return S.run_to_table(S.cache_stream(streamed(spark, sf, "visits")), "cache")
-    finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
+    """Lookups older than the hour that the stream waits for late rows."""
+    visits = streamed(spark, sf, "visits")
+    with S.rocksdb(spark):
+        return S.run_to_table(S.collapse_lookups(visits, ttl_for_label(F.col("label")), "1 hour"), "inflight")
 
 
 @query("st5_rate_limit_stream", with_inputs("api_calls", V.RATES))

@@ -1,11 +1,11 @@
-"""Queries over navigation, cache replay and request rates (batch)."""
+"""Queries over navigation, sessions and request rates (batch)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from wardlight.operators import navigation as N
-from wardlight.operators import replay as R
+from wardlight.operators import sessions as R
 from wardlight.plans.parsing import _URL_HOST
 from wardlight.plans.registry import query, with_inputs
 from wardlight.sources.adapters import adapted
@@ -37,28 +37,18 @@ def host_changes(spark, sf):
     return N.host_changes(adapted(spark, sf, "nav")).select("event_id", "tab_id", "host")
 
 
-REPLAY = """WITH RECURSIVE visits AS ({visits}), v AS (SELECT *, epoch_us(ts) AS t, CASE WHEN label = 'safe' THEN 3600 ELSE 900 END::BIGINT * 1000000 AS ttl FROM visits),
+# The lookups that are made: per domain the first, then each first one after the last one's time is over.
+MADE = """WITH RECURSIVE visits AS ({visits}), v AS (SELECT *, epoch_us(ts) AS t, CASE WHEN label = 'safe' THEN 3600 ELSE 900 END::BIGINT * 1000000 AS ttl FROM visits),
   m AS (SELECT domain, event_id, t, ttl FROM v QUALIFY row_number() OVER (PARTITION BY domain ORDER BY t, event_id) = 1
     UNION ALL SELECT domain, event_id, t, ttl FROM (SELECT v.domain, v.event_id, v.t, v.ttl, row_number() OVER (PARTITION BY v.domain ORDER BY v.t, v.event_id) AS rn
       FROM m JOIN v ON v.domain = m.domain AND v.t >= m.t + m.ttl) WHERE rn = 1)
-  SELECT event_id, event_id NOT IN (SELECT event_id FROM m) AS hit FROM v"""
+  SELECT domain, event_id FROM m WHERE t <= (SELECT max(t) // 1000 * 1000 FROM v) - {delay_us}"""
 
 
-def replay_sql() -> str:
+def made_sql(delay_us: int) -> str:
     from wardlight.sources.adapters import DUCK_SQL
 
-    return REPLAY.replace("{visits}", DUCK_SQL["visits"])
-
-
-@query("st3_cache_replay", replay_sql())
-def cache_replay(spark, sf):
-    return R.cache_replay(adapted(spark, sf, "visits")).select("event_id", "hit")
-
-
-@query("st3_cache_replay_blocks", replay_sql())
-def cache_replay_blocks(spark, sf):
-    """The same, every busy domain cut into blocks."""
-    return R.cache_replay(adapted(spark, sf, "visits"), limit=200, hours=(720, 24, 6)).select("event_id", "hit")
+    return MADE.replace("{visits}", DUCK_SQL["visits"]).replace("{delay_us}", str(delay_us))
 
 
 @query("st4_visit_sessions", with_inputs("visits", """SELECT domain, session::BIGINT AS session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS visits FROM

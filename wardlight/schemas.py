@@ -45,10 +45,8 @@ REAL_FEATURES = {"digit_ratio", "entropy", "vowel_ratio", "consonant_ratio",
                  "ratio_digits_to_letters"}
 
 LABELS = ["safe", "suspicious", "malicious"]
-CONFIDENCES = ["low", "medium", "high"]
 FEEDBACK_VERDICTS = ["false_positive", "confirmed_malicious", "unsure"]
 KNOWN_VERDICTS = ["safe", "malicious", "phishing"]
-SOURCES = ["extension", "api"]
 
 
 def _feature_type(name: str) -> T.DataType:
@@ -73,17 +71,4 @@ WHOIS_OBS = _struct(
     expiration=T.ArrayType(T.TimestampType()), registrar=T.StringType(),
     country=T.StringType(), text=T.StringType(), org=T.StringType(),
     name=T.StringType(), emails=T.ArrayType(T.StringType()),
-    observed_at=T.TimestampType())
-VERDICT = _struct(domain=T.StringType(), score=T.DoubleType(), label=T.StringType(),
-                  confidence=T.StringType(), reasons=T.ArrayType(T.StringType()),
-                  model_version=T.StringType(), cached=T.BooleanType(),
-                  network_features_used=T.BooleanType())
-MODEL_VERSION = _struct(
-    version=T.StringType(), accuracy=T.DoubleType(), f1_score=T.DoubleType(),
-    auc_roc=T.DoubleType(), precision_score=T.DoubleType(),
-    recall_score=T.DoubleType(), false_positive_rate=T.DoubleType(),
-    training_samples=T.LongType(), feature_count=T.IntegerType(),
-    notes=T.StringType(), is_production=T.BooleanType(),
-    deployed_at=T.TimestampType())
-NAV_EVENT = _struct(event_id=T.LongType(), ts=T.TimestampType(), tab_id=T.LongType(),
-                    kind=T.StringType(), frame_id=T.IntegerType(), url=T.StringType())
+    observed_at=T.TimestampType(), registrant=T.StringType())

@@ -89,7 +89,7 @@ def _adapters(d) -> dict[str, str]:
         "dns_obs": """SELECT 'h' || cast(user_id as string) || '.com' AS host,
               CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'AAAA' WHEN 'purchase' THEN 'MX'
                    WHEN 'signup' THEN 'NS' ELSE 'TXT' END AS rtype, cast(event_id as string) AS rdata,
-              cast(floor(value) as int) * 10 AS ttl, cast(ts as timestamp) AS observed_at FROM events""",
+              cast(floor(value) as int) * 10 AS ttl, date_trunc('hour', cast(ts as timestamp)) AS observed_at FROM events""",
         "whois_obs": f"""SELECT o_orderkey AS obs_id, 'h' || cast(o_custkey as string) || '.com' AS registrable,
               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE cast(o_orderdate as timestamp) END AS creation,
               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE {d.plus_seconds('o_orderdate', '(o_custkey % 900 - 40) * 86400')} END AS expiration,
@@ -99,6 +99,7 @@ def _adapters(d) -> dict[str, str]:
               CASE WHEN o_orderkey % 3 = 0 THEN 'Registrant: REDACTED FOR PRIVACY' ELSE 'Registrant: ' || c_name END AS text,
               c_mktsegment AS org, c_name AS name,
               CASE WHEN o_orderkey % 17 = 0 THEN 'proxy@example.com' ELSE 'a@example.com' END AS email,
+              CASE WHEN o_orderkey % 19 = 0 THEN 'Withheld for Privacy' ELSE c_name END AS registrant,
               cast(o_orderdate as timestamp) AS observed_at
               FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
         "asset_hosts": """SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN 'www.' ELSE '' END

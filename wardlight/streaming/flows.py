@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardlight.functions.hosts import url_host
-from wardlight.functions.scores import NETWORK_TTL_SECONDS, ttl_for_label
+from wardlight.functions.scores import NETWORK_TTL_SECONDS
 from wardlight.operators.audit import latest_per_key, log_gate, log_rows
 from wardlight.operators.bounds import computed_once
 from wardlight.session import scratch_path
@@ -21,6 +22,18 @@ from wardlight.streaming.windows import LATENESS, watermarked
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store for the streams run inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*.parquet",
                 max_files: int = 1000) -> DataFrame:
     """Parquet files of a folder as a stream, a bounded number per batch."""
@@ -60,11 +73,6 @@ def stream_hosts(events: DataFrame) -> DataFrame:
     return computed_once(rows, {"host": url_host(F.col("url"))}).where(F.col("host") != "").drop("url")
 
 
-def collapse_inflight(lookups: DataFrame, delay: str = LATENESS, key: str = "domain", ts: str = "ts") -> DataFrame:
-    """One lookup per domain while an earlier one may still be in flight."""
-    return lookups.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-
-
 def navigation_stream(commits: DataFrame, completes: DataFrame, within: str = "10 minutes",
                       delay: str = LATENESS) -> DataFrame:
     """Stream-stream join: a completion of the same tab and URL soon after its
@@ -106,39 +114,72 @@ def stream_upsert(verdicts: DataFrame, name: str, order: list[str]) -> DataFrame
     return latest_per_key(spark.read.parquet(out).drop("batch"), ["domain"], order)
 
 
-class _VerdictCache(StatefulProcessor):
-    """Expiry of the cached verdict of one domain."""
+class _Lookups(StatefulProcessor):
+    """The lookups of one key, taken in time order once the watermark has passed them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.expiry = handle.getValueState("expiry", T.StructType([T.StructField("at", T.LongType())]))
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType([
+            T.StructField(n, T.LongType()) for n in ("t", "event_id", "ttl")]))
+        self.until = handle.getValueState("until", T.StructType([T.StructField("at", T.LongType())]))
+
+    def _wake(self, t: int) -> None:
+        self.handle.registerTimer(-(-t // 1000))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        at = self.expiry.get()[0] if self.expiry.exists() else -(1 << 62)
+        first = None
         for pdf in rows:
-            pdf = pdf.sort_values(["t", "event_id"])
-            hits = []
-            for t, ttl in zip(pdf["t"], pdf["ttl"]):
-                hits.append(t < at)
-                if t >= at:
-                    at = t + ttl
-            yield pd.DataFrame({"event_id": pdf["event_id"], "hit": hits})
-        self.expiry.update((int(at),))
+            self.waiting.appendList([(int(t), int(i), int(w)) for t, i, w in zip(pdf["t"], pdf["event_id"], pdf["ttl"])])
+            first = int(pdf["t"].min()) if first is None else min(first, int(pdf["t"].min()))
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] <= now]
+        rest = rows[len(due):]
+        until, kept = self.until.get()[0] if self.until.exists() else None, []
+        for t, i, ttl in due:
+            if until is None or t >= until:
+                kept.append(i)
+                until = t + ttl
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if until is not None and (rest or until > now):
+            self.until.update((until,))
+            if not rest:
+                self._wake(until)
+        elif self.until.exists():
+            self.until.clear()
+        if kept:
+            yield pd.DataFrame({"key": [key[0]] * len(kept), "event_id": kept})
 
     def close(self) -> None:
         pass
 
 
-def cache_stream(visits: DataFrame, key: str = "domain", ts: str = "ts", label: str = "label") -> DataFrame:
-    """Hit or miss per visit against a keyed cache with label lifetimes.
+def collapse_lookups(lookups: DataFrame, window_seconds: Column, delay: str = LATENESS, key: str = "domain",
+                     ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The lookups that are really made: (key, event_id).
 
-    State is one expiry per domain.  Visits of a domain must arrive in time
-    order across batches; within a batch they are sorted.
+    A lookup answers its key for ``window_seconds``; later ones inside that time are
+    dropped and don't prolong it.  Rows wait until the watermark has passed them and are
+    then taken by (time, id), so the result follows from the rows alone, not from how
+    files fall into batches.  State holds the rows younger than ``delay`` and one time a
+    key; a timer removes both.  Needs the RocksDB state store.
     """
-    slim = visits.select(F.col(key).alias("k"), "event_id", F.unix_micros(ts).alias("t"),
-                         (ttl_for_label(F.col(label)).cast("long") * 1_000_000).alias("ttl"))
-    return slim.groupBy("k").transformWithStateInPandas(
-        statefulProcessor=_VerdictCache(), outputStructType="event_id long, hit boolean",
-        outputMode="Append", timeMode="None")
+    slim = lookups.withWatermark(ts, delay).select(
+        F.col(key).alias("key"), F.col(tie).cast("long").alias("event_id"), ts, F.unix_micros(ts).alias("t"),
+        (window_seconds.cast("long") * 1_000_000).alias("ttl"))
+    kept = slim.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_Lookups(), outputStructType=f"key {lookups.schema[key].dataType.simpleString()}, event_id long",
+        outputMode="Append", timeMode="EventTime")
+    return kept.withColumnRenamed("key", key)
 
 
 def dropped_as_late(query: Any) -> int:
