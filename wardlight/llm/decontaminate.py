@@ -239,6 +239,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """
     mark = F.struct(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"))
     found = find_passages(docs.select(mark.alias("key"), F.col(text).alias("text")), benchmark, key="key")
-    bad = found.where(F.size("hits") > 0).select(
-        F.col("key.id").alias("__id"), F.col("key.h").alias("__h")).distinct()
+    # written, so that its size is known when the join is planned and a small one moves no text
+    path = scratch_path(docs.sparkSession, "contaminated")
+    found.where(F.size("hits") > 0).select(
+        F.col("key.id").alias("__id"), F.col("key.h").alias("__h")).write.parquet(path)
+    bad = docs.sparkSession.read.parquet(path)
     return docs.join(bad, docs[key].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__h"]), "left_anti")

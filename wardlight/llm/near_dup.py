@@ -377,7 +377,10 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_
     path = scratch_path(spark, "groups")
     find_groups(docs, size, percent, key, text).write.parquet(path)
     found = spark.read.parquet(path)
-    left_out = found.where("not kept").select(F.col(key).alias("__id")).distinct()
+    # written, so that its size is known when the join is planned and a small one moves no text
+    path = scratch_path(spark, "left-out")
+    found.where("not kept").select(F.col(key).alias("__id")).write.parquet(path)
+    left_out = spark.read.parquet(path)
     stays = docs.join(left_out, docs[key] == left_out["__id"], "left_anti")
     again = found.where(F.col(key).isNotNull() & F.col("kept")).groupBy(F.col(key).alias("__id")).count().where("count > 1")
     if again.isEmpty():
