@@ -140,6 +140,16 @@ def test_pii_context_and_checksums():
     assert pii.redacted("to a@b.com!") == "to <EMAIL>!" and pii.redacted(None) is None
 
 
+@pytest.mark.parametrize("text, masked", [
+    ("pay GB82 WEST 1234 5698 7654 32 BIC DEUTDEFF", "pay <IBAN> BIC DEUTDEFF"),
+    ("DE89370400440532013000 BIC COBADEFFXXX", "<IBAN> BIC COBADEFFXXX"),
+    ("DE89370400440532013000 GB82WEST12345698765432", "<IBAN> <IBAN>"),
+    ("AB12 DE89 3704 0044 0532 0130 00 SWIFT", "AB12 <IBAN> SWIFT"),
+    ("DE88370400440532013000 BIC COBADEFFXXX", "DE88370400440532013000 BIC COBADEFFXXX")])
+def test_iban_before_capitals(text, masked):
+    assert pii.redacted(text) == masked
+
+
 def test_language(spark, odd, empty):
     folder = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in table(spark, folder, "documents").select("doc_id", "lang").collect()}

@@ -21,6 +21,12 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[ -]?[0-9]){12,}+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country; of other countries every length is tried.
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC"}.items() for c in cs.split()}
 _national = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _digit = re.compile(r"[0-9]")
 _word = re.compile(r"[^\W\d_]+")
@@ -70,6 +76,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A match may run on into the words after the number, so its ends at word edges are tried, the last first."""
+    m = _iban.search(text)
+    while m:
+        start, at = m.start(), m.start() + 1
+        for end in range(m.end(), start + 14, -1):
+            if text[end - 1] == " " or (end < m.end() and text[end] != " "):
+                continue
+            code = text[start:end].replace(" ", "")
+            if 15 <= len(code) <= 34 and len(code) == IBAN_LENGTHS.get(code[:2], len(code)) and mod97(code):
+                yield start, end
+                at = end
+                break
+        m = _iban.search(text, at)
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if "@" in text:
         yield from (("email", a, b) for a, b in _emails(text))
@@ -86,10 +108,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _phone.finditer(text):
             if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _iban.finditer(text):
-        code = m.group().replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield "iban", m.start(), m.end()
+    yield from (("iban", a, b) for a, b in _ibans(text))
     for m in _national.finditer(text):
         area, group, serial = m.group().split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
