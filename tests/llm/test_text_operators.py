@@ -150,6 +150,23 @@ def test_iban_before_capitals(text, masked):
     assert pii.redacted(text) == masked
 
 
+def test_token_counts_of_a_text_with_millions_of_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from wardlight.llm.bpe import Encoder, tables
+    encode = Encoder(tables(brute.PATH))
+    rng = random.Random(2)
+    ways = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3_001_000)})
+    assert len(ways) >= 3_000_000
+    per_row, lengths, starts, pool = encode(pa.array([" ".join(ways)]))
+    assert per_row.tolist() == [len(ways)] and len(np.unique(starts)) == len(ways)
+    for i in range(0, len(ways), 100_000):
+        assert pool[starts[i]:starts[i] + lengths[i]].tolist() == brute.ids(ways[i])
+    encode(pa.array(["after it"]))
+    assert encode.slots == Encoder.SLOTS
+
+
 def test_language(spark, odd, empty):
     folder = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in table(spark, folder, "documents").select("doc_id", "lang").collect()}

@@ -153,8 +153,8 @@ class Encoder:
 
     Units are pre-tokens of ASCII and Latin-1 words, and whole white-space words that
     hold anything else (apostrophes, other scripts, control characters, special
-    strings).  The ids of units met are kept under their 64-bit hash in a table of
-    fixed size, which is emptied when half full.
+    strings).  The ids of units met are kept under their 64-bit hash in a table that is
+    emptied before a slice when half full, and grows for a slice that has more units.
     """
 
     SLOTS = 1 << 21
@@ -164,12 +164,17 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.keys = np.zeros(self.SLOTS, np.uint64)
-        self.value = np.full(self.SLOTS, -1, np.int32)
+        self.sized(self.SLOTS)
         self.start, self.length, self.pool, self.n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
         self.pooled = 0
         self.flat: tuple | None = None
 
+    def sized(self, slots: int) -> None:
+        """An empty table of ``slots``, a power of two."""
+        self.slots, self.shift = slots, np.uint64(65 - slots.bit_length())
+        self.keys = np.zeros(slots, np.uint64)
+        self.value = np.full(slots, -1, np.int32)
+
     def units(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(units per row, start, length, hash, bytes, is a whole word for the library)."""
         raw, ends = text_bytes(text)
@@ -213,12 +218,12 @@ class Encoder:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number kept under each hash, or -1."""
-        slot = (hashes >> np.uint64(43)).astype(np.int64)
+        slot = (hashes >> self.shift).astype(np.int64)
         found = np.where(self.keys[slot] == hashes, self.value[slot], -1).astype(np.int64)
         open_ = np.flatnonzero((found < 0) & (self.value[slot] >= 0))
         slot = slot[open_]
         while len(open_):
-            slot = (slot + 1) & (self.SLOTS - 1)
+            slot = (slot + 1) & (self.slots - 1)
             value = self.value[slot]
             hit = (value >= 0) & (self.keys[slot] == hashes[open_])
             found[open_[hit]] = value[hit]
@@ -226,9 +231,9 @@ class Encoder:
             open_, slot = open_[on], slot[on]
         return found
 
-    def keep(self, hashes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
-        number = self.n + np.arange(len(hashes))
-        slot = (hashes >> np.uint64(43)).astype(np.int64)
+    def put(self, hashes: np.ndarray, number: np.ndarray) -> None:
+        """Files distinct hashes that the table doesn't hold."""
+        slot = (hashes >> self.shift).astype(np.int64)
         todo = np.arange(len(hashes))
         while len(todo):
             free = self.value[slot[todo]] < 0
@@ -239,7 +244,15 @@ class Encoder:
             left = np.ones(len(hashes), bool)
             left[put] = False
             todo = todo[left[todo]]
-            slot[todo] = np.where(self.keys[slot[todo]] == hashes[todo], slot[todo], (slot[todo] + 1) & (self.SLOTS - 1))
+            slot[todo] = np.where(self.keys[slot[todo]] == hashes[todo], slot[todo], (slot[todo] + 1) & (self.slots - 1))
+
+    def keep(self, hashes: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
+        if 2 * (self.n + len(hashes)) > self.slots:
+            used = self.value >= 0
+            keys, value = self.keys[used], self.value[used]
+            self.sized(1 << (2 * (self.n + len(hashes))).bit_length())
+            self.put(keys, value)
+        self.put(hashes, self.n + np.arange(len(hashes)))
         self.start.append(self.pooled + np.cumsum(lengths) - lengths)
         self.length.append(lengths)
         self.pool.append(flat)
