@@ -48,6 +48,28 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == expected(rows, 3, 85)
 
 
+def test_near_duplicates_in_a_template_region(spark):
+    """Thousands of pages of one template lie just below the limit; the planted pairs in it lie just above."""
+    rng = random.Random(11)
+    word = lambda k: ["".join(rng.choices("abcdefghij", k=9)) for _ in range(k)]
+    template, rows, pairs = word(220), [], set()
+    for i in range(3000):
+        own = word(20)
+        if i % 60 == 0:
+            pairs.add((i, i + 1))
+            rows += [(i, " ".join(template + own)), (i + 1, " ".join(template + own[:4] + word(16)))]
+        elif i % 60 > 1:
+            rows.append((i, " ".join(template + own)))
+    sets = {i: brute.shingles(t, 3) for i, t in rows}
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    ids = rng.sample(sorted(sets), 300)
+    assert all(similar(a, b) for a, b in pairs)
+    assert not any(similar(a, b) for a in ids for b in ids if a < b and (a, b) not in pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = groups(near_dup.find_groups(docs, 3, 85))
+    assert {(r[1], i) for i, r in got.items() if not r[2]} == pairs
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d"), (1, None), (2, ""), (3, " \n"), (4, "A b"), (5, "a B"), (6, "a"), (7, "x" * 100_000),
             (8, "a b c d"), (9, "a b c  d"), (9, "a b c  d"), (10, "b a")]

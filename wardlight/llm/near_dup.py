@@ -26,6 +26,8 @@ FIRST = 4
 ROWS_PER_RANGE = 200_000
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle, and bits a row of it.
 FILTER_BITS, ROW_BITS = 1 << 24, 1 << 15
+#: Hash buckets in which the shingles of crowded rows are counted, and buckets a row of their table.
+BUCKETS, BUCKET_BITS, ROW_BUCKETS = 1 << 22, 22, 1 << 16
 
 _random = np.random.Generator(np.random.PCG64(7_2024))
 _XOR = _random.integers(0, 2**64, HASHES, np.uint64)
@@ -105,9 +107,12 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: in
     the row that agrees best with the commonest bytes: two copies of one text that
     differ in other places are linked only if both are near that text, and rarely stand
     side by side.  Both grow in proportion to the rows.
+
+    A row that has ``REACH`` rows like it on one side may have more beyond; it is crowded and
+    comes back as the pair (row, row), score 0, for ``unmet``.
     """
     n = len(ids)
-    a, b, score = [], [], []
+    a, b, score, marks = [], [], [], ids[:0]
     if n < 2:
         return ids[:0], ids[:0], np.zeros(0, np.int32)
     differ = sketch[1:] != sketch[:-1]
@@ -119,6 +124,10 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: in
         at = np.flatnonzero(shared >= DEPTH)
         if not len(at):
             break
+        if step == REACH:
+            crowded = np.zeros(n, bool)
+            crowded[at] = crowded[at + step] = True
+            marks = ids[crowded]
         for part in np.array_split(at, max(1, len(at) // 100_000)):
             same = (sketch[part] == sketch[part + step]).sum(1)
             x, y = sizes[part], sizes[part + step]
@@ -144,11 +153,12 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: in
     if not a:
         return ids[:0], ids[:0], np.zeros(0, np.int32)
     a, b, score = np.concatenate(a), np.concatenate(b), np.concatenate(score)
-    return a[a != b], b[a != b], score[a != b]
+    a, b, score = a[a != b], b[a != b], score[a != b]
+    return np.append(a, marks), np.append(b, marks), np.append(score, np.zeros(len(marks), np.int32))
 
 
 def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, score), a < b, of the representatives ``sets`` (key, n, sketch).
+    """Pairs (a, b, score), a < b, of the representatives ``sets`` (key, n, sketch), and (a, a, 0) of crowded ones.
 
     Every tree is one order of the hash bytes.  All rows of all trees are range
     sorted together, by tree, bytes and id, so a large region is spread over tasks; each
@@ -277,6 +287,94 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(run, "a long, b long")
 
 
+def _bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many shingles of ``texts`` fall in each of ``BUCKETS``; as large as that whatever the input."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in sliced(batches):
+            _, shingles = shingle_sets(batch["text"], size)
+            bucket, n = np.unique(shingles >> np.uint64(64 - BUCKET_BITS), return_counts=True)
+            counts[bucket.astype(np.int64)] += n
+        blocks = counts.reshape(-1, ROW_BUCKETS)
+        at = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([blocks[i].tobytes() for i in at], pa.binary())],
+                                         ["block", "counts"])
+
+    def summed(group: pa.Table) -> pa.Table:
+        total = np.zeros(ROW_BUCKETS, np.int64)
+        for body in group["counts"]:
+            total += np.frombuffer(body.as_buffer(), np.int64)
+        return pa.table({"block": group["block"][:1], "counts": pa.array([total.astype(np.uint32).tobytes()], pa.binary())})
+
+    kind = "block int, counts binary"
+    out = np.zeros((BUCKETS // ROW_BUCKETS, ROW_BUCKETS), np.uint32)
+    for r in texts.select("text").mapInArrow(run, kind).groupBy("block").applyInArrow(summed, kind).collect():
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
+
+
+def unmet(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b, score), a < b: all pairs of ``texts`` (key, text, root, weight) that can reach the similarity.
+
+    Only pairs of different roots count; ``weight`` is the number of rows of a root.  An
+    exact prefix-filter join.  Shingles are in one order, rarest bucket first.  Of a pair
+    that reaches the similarity, the smaller set holds a shared shingle among its first
+    n - 2p/(100+p) n + 1, the larger among its first n - p/100 n + 1, and from the first
+    shared one on both have enough left.  What the rows of a template share stands behind
+    the smaller set's places unless they do reach it, so their lists stay short; a list of
+    one root is dropped, and of a longer one rows of its largest root aren't compared
+    with each other.
+    """
+    spark = texts.sparkSession
+    given = spark.sparkContext.broadcast(_bucket_counts(texts, size))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            n, shingles = shingle_sets(batch["text"], size)
+            count = given.value[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((shingles, count, row))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            least = -(-percent * n // 100)
+            use = (place < (n - least + 1)[row]) & (count[order] > 1)  # a bucket of one is shared with nobody
+            at, of = order[use], pa.array(row[use])
+            for low in range(0, len(at), 100_000):
+                cut = slice(low, low + 100_000)
+                whose = of[cut]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingles[at[cut]].view(np.int64)), batch["key"].take(whose), batch["root"].take(whose),
+                     batch["weight"].take(whose), pa.array(n[row[use][cut]], pa.int64()), pa.array(place[use][cut], pa.int64())],
+                    ["shingle", "key", "root", "weight", "n", "place"])
+
+    path = scratch_path(spark, "prefixes")
+    texts.select("text", "key", "root", "weight").mapInArrow(
+        run, "shingle long, key long, root long, weight long, n long, place long").write.parquet(path)
+    prefixes = spark.read.parquet(path)
+    early = (100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")
+    path = scratch_path(spark, "lists")
+    (prefixes.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or(early).alias("early"),
+                                     F.max_by("root", F.struct("weight", "root")).alias("main"))
+     .where("low != high and early").select("shingle", "main").write.parquet(path))
+    listed = prefixes.join(spark.read.parquet(path), "shingle").drop("weight")
+    path = scratch_path(spark, "listed")
+    listed.withColumn("early", early).write.parquet(path)
+    listed = spark.read.parquet(path)
+    small = listed.where("early").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("key", "root", "n", "place")), "main")
+    large = listed.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("key", "root", "n", "place")), F.col("main").alias("main_b"))
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    near = ((F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "key_a") < F.struct(F.col("n_b").alias("n_a"), F.col("key_b").alias("key_a")))
+            & ((100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))))
+
+    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.drop("main").withColumnRenamed("shingle", "s"), y.drop("main_b")
+        return x.join(y, (F.col("s") == F.col("shingle")) & near).select(
+            F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+
+    both = joined(small.where("root_a != main"), large).unionByName(
+        joined(small.where("root_a = main"), large.where("root_b != main_b")))
+    return both.groupBy("a", "b").agg(F.count("*").cast("int").alias("score"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest id that each linked node reaches.
 
@@ -325,7 +423,9 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     the smallest id reachable over links, ``kept`` is true for that id.  Exact copies
     of a set are one node from the start.  The likeliest links are confirmed first; the
     other candidates are confirmed only where they would still join two components, so
-    every candidate is either confirmed, refuted or within one component.
+    every candidate is either confirmed, refuted or within one component.  Crowded rows,
+    whose neighbours went beyond ``REACH`` in an order, then go through ``unmet``: all
+    pairs of them that may still join two components are confirmed or refuted as well.
 
     A null or empty text has no shingles and no links.  Rows that repeat an id count as
     linked.  A null id is linked with nothing: its component is null and it is kept.
@@ -341,26 +441,42 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     nodes = spark.read.parquet(path)
     path = scratch_path(spark, "pairs")
     candidates(nodes, percent).write.parquet(path)
-    pairs = spark.read.parquet(path)
+    met = spark.read.parquet(path)
     path = scratch_path(spark, "asked")
-    pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().write.parquet(path)
+    met.select(F.explode(F.array("a", "b")).alias("key")).distinct().write.parquet(path)
     asked = spark.read.parquet(path)
     path = scratch_path(spark, "texts")
     asked_for(rows, asked).distinct().write.parquet(path)
     texts = spark.read.parquet(path)
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")),
-                                        F.struct(F.col("b").alias("one"), F.col("a").alias("other")))).alias("x"), "a", "b", "score")
-    best = Window.partitionBy("x.one").orderBy(F.desc("score"), "x.other")  # a node has at most 2 * REACH * TREES partners
-    first = ends.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= FIRST).select("a", "b").distinct()
-    path = scratch_path(spark, "links")
-    confirmed(first, texts, size, percent).write.parquet(f"{path}/round=1")
-    known = components(spark.read.parquet(f"{path}/round=1"))
-    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = (pairs.join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-            .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-    confirmed(rest, texts, size, percent).write.parquet(f"{path}/round=2")
-    links = spark.read.parquet(path).select("a", "b")
-    roots = components(links)
+    links = scratch_path(spark, "links")
+
+    def confirm(pairs: DataFrame, number: int) -> DataFrame:
+        """Adds two rounds of links: the likeliest of each node, then those that still join two components."""
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")),
+                                            F.struct(F.col("b").alias("one"), F.col("a").alias("other")))).alias("x"), "a", "b", "score")
+        best = Window.partitionBy("x.one").orderBy(F.desc("score"), "x.other")
+        first = ends.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= FIRST).select("a", "b").distinct()
+        confirmed(first, texts, size, percent).write.parquet(f"{links}/round={number}")
+        known = components(spark.read.parquet(links))
+        root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        rest = (pairs.join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+                .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+        confirmed(rest, texts, size, percent).write.parquet(f"{links}/round={number + 1}")
+        return components(spark.read.parquet(links).select("a", "b"))
+
+    roots = confirm(met.where("a != b"), 1)
+    crowd = (met.where("a = b").select(F.col("a").alias("key"))
+             .join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+             .select("key", F.coalesce("root", "key").alias("root")))
+    path = scratch_path(spark, "crowd")
+    crowd.join(crowd.groupBy("root").agg(F.count("*").alias("weight")), "root").write.parquet(path)
+    crowd = spark.read.parquet(path)
+    if not crowd.isEmpty():
+        path = scratch_path(spark, "unmet")
+        unmet(texts.join(crowd, "key"), size, percent).write.parquet(path)
+        more = spark.read.parquet(path)
+        if not more.isEmpty():
+            roots = confirm(more, 3)
     same = nodes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.col("key").alias("node"))
     found = (sets.select("key", "n", "f1", "f2")
              .join(same, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m"))
