@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight.llm import (
-    decontaminate, language, near_dup, packing, pii, quality, secret_scan, token_counts, toxicity, warc)
+    collocations, decontaminate, language, near_dup, packing, pii, quality, secret_scan, suffix_dedup, token_counts, toxicity, warc,
+    whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +90,36 @@ def op10(spark, folder):
         "doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), "toxic")
     chain = toxicity.fit(docs, labels, ["low_quality", "toxic"])
     return toxicity.predict(docs, chain)
+
+
+@query("op11_whitening")
+def op11(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_suffix_dedup")
+def op12(spark, folder):
+    found = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_phrases")
+def op13(spark, folder):
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+ORACLES["op13_phrases"] = """WITH w AS (SELECT id, lang, list_filter(string_split_regex(piece, '[ \\t]+'), x -> x <> '') AS w
+    FROM (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n\\x0B\\x0C\\r]')) AS piece FROM documents)),
+  grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> w[i:i + k - 1])) AS g FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+  f AS (SELECT lang, g, any_value(k) AS k, count(*)::HUGEINT AS a FROM grams GROUP BY lang, g),
+  c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+  cuts AS (SELECT c.lang, c.g, c.k, c.a, x.k AS cut, x.a AS l, y.a AS r, 1000000::HUGEINT * c.a * c.a // (x.a * y.a) AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.k < c.k AND x.g = c.g[1:x.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[x.k + 1:c.k]),
+  scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+  held AS (SELECT lang, part AS g, max(a) AS longer FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS part, a FROM c WHERE k = 3) GROUP BY 1, 2)
+  SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM
+    (SELECT s.lang, array_to_string(s.g, ' ') AS phrase, s.a, l, r, score, row_number() OVER (
+       PARTITION BY s.lang ORDER BY score DESC, s.a DESC, array_to_string(s.g, ' ')) AS rank
+     FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.g = s.g WHERE h.longer IS NULL OR 100 * h.longer < 50 * s.a)
+    JOIN (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000"""
