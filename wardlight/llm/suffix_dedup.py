@@ -384,7 +384,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> D
     members = _written(maybe(every, F.col("key"), met).where("__maybe").drop("__maybe").join(met, "key"), "members")
     kinds = _written(members.groupBy("key", "seg").agg(
         F.sum(F.size("at")).alias("times"), F.min(F.struct("f1", "f2", F.element_at("at", 1).alias("start"), "many")).alias("one")), "kinds")
-    around = kinds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that Spark can split a crowded core when it joins
+    around = _written(kinds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "around")
     asked = _written(kinds.join(around, "key").select("key", "seg", "times", (F.col("n") > MOST_SEGMENTS).alias("wide"), "one.*"), "asked")
     bodies = _written(_bodies(texts, asked, length), "bodies")
     whole = _written(kinds.where("times > 1").select("key", "seg"), "whole")
