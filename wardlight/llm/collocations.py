@@ -25,8 +25,10 @@ SCALE = 1_000_000
 SLICE, SECTION_WORDS = 2 << 20, 300_000
 #: Bits of a broadcast filter whatever the input, and bits a row of it.
 FILTER_BITS, ROW_BITS = 1 << 26, 1 << 15
-#: The first wave's bound is the score of the candidate at TOP * FIRST_WAVE, each next one's at NEXT_WAVE times that place.
+#: The first wave's bound is about the score of the candidate at TOP * FIRST_WAVE, each next one's at NEXT_WAVE times that place.
 FIRST_WAVE, NEXT_WAVE = 2, 4
+#: Steps of a doubling of the score, in which a bound is sought.
+STEPS = 8
 NO_LANGUAGE = "und"
 
 _BLANK, _BREAK = 32, 10
@@ -243,6 +245,18 @@ def _survivors(pairs: DataFrame, triples: DataFrame, frontier: DataFrame, percen
     return twos.unionByName(threes)
 
 
+def _frontier(pairs: DataFrame, place: int) -> DataFrame:
+    """(lang, bound): a score that at least ``place`` of a language's pairs reach, 0 where there are fewer.
+
+    From counts by step of the score, ``STEPS`` to a doubling, so that no task sorts a language.
+    """
+    step = F.floor(F.log2(F.col("score") + 1) * STEPS)
+    down = Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = pairs.groupBy("lang", step.alias("step")).agg(F.count("*").alias("many"), F.min("score").alias("bound"))
+    summed = reached.withColumn("upto", F.sum("many").over(down))
+    return summed.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("upto") >= place, F.col("bound"))), F.lit(0)).alias("bound"))
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return rows.withColumn("rank", F.row_number().over(order))
@@ -259,7 +273,7 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, percent: int = PER
 
     The frontier is grown best first.  Words are counted, then pairs of frequent words;
     a pair's counts bound the scores of all phrases it starts or ends.  Each wave grows
-    the pairs whose bound reaches the score at some place of the language's list.  The
+    the pairs whose bound reaches about the score at some place of the language's list.  The
     language is settled when ``top`` candidates at that score survive: whatever wasn't
     grown scores less.  Otherwise the next wave goes on for it with a lower bound, in
     the end with none.
@@ -276,10 +290,7 @@ def mine(docs: DataFrame, top: int = TOP, least: int = LEAST, percent: int = PER
     out, wave = scratch_path(spark, "phrases"), 0
     open_ = _written(pairs.select("lang").distinct(), "languages")
     while wave == 0 or not open_.isEmpty():
-        place = top * FIRST_WAVE * NEXT_WAVE**wave
-        leading = _ranked(pairs.join(open_, "lang")).where(F.col("rank") <= place)
-        frontier = _written(leading.groupBy("lang").agg(
-            F.when(F.count("*") >= place, F.min("score")).otherwise(0).alias("bound")), "frontier")
+        frontier = _written(_frontier(pairs.join(open_, "lang"), top * FIRST_WAVE * NEXT_WAVE**wave), "frontier")
         triples = _triples(rows, pairs, words, frontier, least)
         found = _written(_survivors(pairs, triples, frontier, percent), "survivors")
         enough = found.groupBy("lang", "bound").agg(F.count("*").alias("many"))
