@@ -20,6 +20,8 @@ from tokenizers import Tokenizer
 
 from wardlight.llm.words import spread, text_bytes, unit_hashes
 
+#: Bytes of text encoded at once; an encoder's arrays take some 40 bytes for each.
+ENCODED_BYTES = 1 << 20
 PRE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 MARK = b"\x01"
 _one = regex.compile(PRE)
@@ -43,7 +45,8 @@ def tables(path: str) -> dict:
     ``trusted`` says that ``tiktoken`` over the merges agreed on all of those.
     """
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+        body = f.read()
+    spec = json.loads(body)
     suffix = spec["model"].get("end_of_word_suffix")
     splits = [p.get("pattern", {}).get("Regex") for p in spec["pre_tokenizer"]["pretokenizers"]]
     if suffix != "</w>" or PRE not in {(s or "").replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
@@ -66,7 +69,7 @@ def tables(path: str) -> dict:
         if (key := raw(token)) not in ranks:
             ranks[key] = len(ids)
             ids.append(vocab[token])
-    library = Tokenizer.from_file(path)
+    library = Tokenizer.from_str(body)
     alone = {}
     for token, i in vocab.items():
         if token not in special and token.endswith(suffix):
@@ -79,7 +82,7 @@ def tables(path: str) -> dict:
     texts = list(alone)
     got = library.encode_batch_fast(texts, add_special_tokens=False)
     whole = {t: alone[t] for t, e in zip(texts, got, strict=True) if e.ids == [alone[t]]}
-    out = {"path": path, "whole": whole, "ranks": ranks, "ids": np.array(ids, np.uint32)}
+    out = {"library": body, "whole": whole, "ranks": ranks, "ids": np.array(ids, np.uint32)}
     merged = Merger(out | {"trusted": True})
     plain = [t for t in whole if _plain.fullmatch(t)]
     lengths, flat = merged.merge(plain)
@@ -91,7 +94,7 @@ class Merger:
     """Merges pre-tokens, and whole words by the library, with one vocabulary."""
 
     def __init__(self, given: dict) -> None:
-        self.whole, self.ids, self.path = given["whole"], given["ids"], given["path"]
+        self.whole, self.ids, self.body = given["whole"], given["ids"], given["library"]
         self.library = None
         self.fast = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=given["ranks"],
                                       special_tokens={})
@@ -109,7 +112,7 @@ class Merger:
 
     def by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.library is None:
-            self.library = Tokenizer.from_file(self.path)
+            self.library = Tokenizer.from_str(self.body)
         found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         return (np.array([len(x) for x in found], np.int64),
                 np.array([i for x in found for i in x], np.uint32))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.bpe import Encoder, tables
+from wardlight.llm.bpe import ENCODED_BYTES, Encoder, tables
 from wardlight.llm.words import sliced, spread
 from wardlight.session import scratch_path
 
@@ -30,7 +30,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, salt = Encoder(given.value), 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=ENCODED_BYTES):
             per_row, lengths, starts, pool = encode(batch["text"])
             upto = np.append(0, np.cumsum(lengths))
             ends = np.append(0, np.cumsum(per_row))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.bpe import Encoder, tables
+from wardlight.llm.bpe import ENCODED_BYTES, Encoder, tables
 from wardlight.llm.words import sliced
 
 
@@ -30,7 +30,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(given.value)
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=ENCODED_BYTES):
             per_row, lengths, _, _ = encode(batch["text"])
             upto = np.append(0, np.cumsum(lengths))
             ends = np.append(0, np.cumsum(per_row))

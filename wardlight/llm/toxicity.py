@@ -159,8 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "d
                 ["key", "y", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    # the bounded sample's feature numbers, in as many parts as it needs
-    rows = _kept(sample.mapInArrow(dense, f"key {kind}, y array<double>, x array<int>").coalesce(4))
+    # written by the scan's own tasks; what is read back is the bounded sample
+    rows = _kept(sample.mapInArrow(dense, f"key {kind}, y array<double>, x array<int>")).coalesce(4)
     names = [str(i) for i in range(max(d, 1))]
     counter = CountVectorizerModel.from_vocabulary(names, inputCol="w", outputCol="bag").setBinary(True).setMinTF(1.0)
     rows = _kept(counter.transform(rows.withColumn("w", F.col("x").cast("array<string>"))).select(
