@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardlight import lexicon
 from wardlight.operators.lexical import structural_features
 from wardlight.operators.parse import hosts_from_urls, split_domain, validate_domains
+from wardlight.operators import typosquat
 from wardlight.operators.typosquat import nearest_popular, typosquat_candidates
 from wardlight.schemas import STRUCTURAL_FEATURES
 
@@ -124,6 +125,41 @@ def test_popular_list_paths_agree(spark):
         assert (r["typosquat_distance"], r["similar_domain"]) == want
 
 
+def test_long_popular_list_compares_few_pairs(spark, monkeypatch):
+    """Typos, far names, names without a common character, lengths from 1 to 120: equal to all pairs, few compared."""
+    rng = random.Random(1)
+    word = lambda of, sizes: "".join(rng.choice(of) for _ in range(rng.choice(sizes)))
+    names = sorted({word("abcdefghijklmnopqrstuvwxyz0-", [3, 6, 8, 9, 10, 11, 14]) for _ in range(4000)})
+    typos = [n[:3] + "x" + n[4:] for n in names[:300]] + [n[1:] for n in names[300:500]]
+    odd = [word("abcdefghijklmnopqrstuvwxyz0-é", [1, 2, 3, 7, 40, 120]) for _ in range(60)] + ["", None, "ÿÿÿ", "ÿ" * 12, *names[5:8]]
+    popular = spark.createDataFrame([(n,) for n in names], "name string")
+    compared, plain = [], typosquat.gram_candidates
+
+    def counted(slds, pop, size):
+        found = plain(slds, pop, size)
+        compared.append(found.count())
+        return found
+
+    def listed(slds, pop):
+        found = by_length(slds, pop)
+        compared.append(found.select(F.sum(F.size("_names"))).first()[0] or 0)
+        return found
+
+    by_length = typosquat.length_candidates
+    monkeypatch.setattr(typosquat, "gram_candidates", counted)
+    monkeypatch.setattr(typosquat, "length_candidates", listed)
+    for slds, share in ((typos, 0.06), (odd, 0.9)):
+        compared.clear()
+        df = spark.createDataFrame([(s,) for s in slds], "sld string")
+        got = nearest_popular(df, popular, literal_limit=10).collect()
+        assert sorted(map(str, got)) == sorted(map(str, nearest_popular(df, popular, literal_limit=10**6).collect()))
+        assert sum(compared) <= share * len(names) * len(slds)
+    few = spark.createDataFrame([("bbbb",), ("ccccccc",)], "name string")
+    df = spark.createDataFrame([("a",), ("aaaaa",), ("aaaaaaaaa",)], "sld string")
+    got = {r["sld"]: (r["typosquat_distance"], r["similar_domain"]) for r in nearest_popular(df, few, literal_limit=1).collect()}
+    assert got == {"a": (4, "bbbb"), "aaaaa": (5, "bbbb"), "aaaaaaaaa": (9, "bbbb")}
+
+
 def test_candidates_match_all_pairs(spark):
     rng = random.Random(3)
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(80)})
