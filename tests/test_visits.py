@@ -13,6 +13,7 @@ from wardlight.operators.bounds import next_value, previous_value
 from wardlight.operators.lookups import latest_before
 from wardlight.session import scratch_path
 from wardlight.streaming import flows, windows
+from wardlight.streaming.deltas import DeltaTable
 
 START = datetime(2024, 1, 1)
 
@@ -117,31 +118,110 @@ def visit_files(spark):
     return path, rows
 
 
-def made_lookups(rows, delay):
-    last = max(r[2] for r in rows) - delay
+def made_lookups(rows):
     hits = naive_hits(rows)
-    return {r[0] for r in rows if not hits[r[0]] and r[2] <= last}
+    return sorted(r[0] for r in rows if not hits[r[0]])
+
+
+def ended(spark, path, max_files=1000, ts="ts"):
+    return flows.with_ending(flows.read_stream(spark, path, spark.read.parquet(path).schema, max_files=max_files), ts)
+
+
+def in_files(spark, rows, schema, size):
+    path = scratch_path(spark, "files")
+    for i in range(0, len(rows), size):
+        spark.createDataFrame(rows[i:i + size], schema).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
 @pytest.mark.parametrize("max_files", [1, 100])
 def test_streamed_lookups_equal_loop(spark, visit_files, max_files):
     path, rows = visit_files
-    stream = flows.read_stream(spark, path, spark.read.parquet(path).schema, max_files=max_files)
+    stream, finish = ended(spark, path, max_files)
     with flows.rocksdb(spark):
-        got = flows.run_to_table(flows.collapse_lookups(stream, ttl_for_label(F.col("label")), "2 hours"), "t").collect()
-    assert len(got) == len({r["event_id"] for r in got})
-    assert {r["event_id"] for r in got} == made_lookups(rows, timedelta(hours=2))
+        got = flows.run_to_table(flows.collapse_lookups(stream, ttl_for_label(F.col("label")), "2 hours"), "t", finish).collect()
+    assert sorted(r["event_id"] for r in got) == made_lookups(rows)
 
 
 def test_streamed_lookups_of_one_key_in_random_order(spark):
     rng = random.Random(4)
     rows = [(i, "hot.com", START + timedelta(seconds=rng.randrange(20 * 86400)), rng.choice(["safe", "malicious"])) for i in range(12_000)]
-    path = scratch_path(spark, "hot-visits")
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(path)
-    stream = flows.read_stream(spark, path, spark.read.parquet(path).schema)
+    stream, finish = ended(spark, in_files(spark, rows, SCHEMA, len(rows)))
+    with flows.rocksdb(spark):
+        got = flows.run_to_table(flows.collapse_lookups(stream, ttl_for_label(F.col("label")), "1 minute"), "h", finish).collect()
+    assert sorted(r["event_id"] for r in got) == made_lookups(rows)
+
+
+@pytest.mark.parametrize("max_files", [1, 100])
+def test_streamed_navigation_equals_batch(spark, max_files):
+    rows = sorted(nav_rows(1500), key=lambda r: (r[1] + timedelta(minutes=r[0] % 9), r[0]))  # up to nine minutes out of order
+    path = in_files(spark, rows, "event_id long, ts timestamp, tab_id long, kind string, frame_id int, url string", 200)
+    stream, finish = ended(spark, path, max_files)
+    with flows.rocksdb(spark):
+        got = flows.run_to_table(flows.navigation_stream(stream), "n", finish).collect()
+    want = navigation.navigation_pairs(spark.read.parquet(path)).collect()
+    pairs = lambda rows: sorted((r["tab_id"], r["commit_id"], r["complete_id"], r["host"]) for r in rows)
+    assert pairs(got) == pairs(want) and len(got) > 50
+
+
+def test_streamed_navigation_forgets_idle_tabs(spark):
+    at = lambda h: START + timedelta(hours=h)
+    rows = [(1, at(0), 1, "commit", 0, "https://a.com/"), (2, at(5), 2, "commit", 0, "https://b.com/"), (3, at(6), 2, "complete", 0, "https://b.com/"),
+            (4, at(9), 1, "complete", 0, "https://a.com/"), (5, at(9), 2, "commit", 0, "https://b.com/")]
+    for idle, want in ((None, {3, 4}), (7200, {3})):
+        stream, finish = ended(spark, in_files(spark, rows, "event_id long, ts timestamp, tab_id long, kind string, frame_id int, url string", 1), 1)
+        with flows.rocksdb(spark):
+            got = flows.run_to_table(flows.navigation_stream(stream, idle_seconds=idle), "i", finish).collect()
+        assert {r["complete_id"] for r in got} == want
+
+
+@pytest.mark.parametrize("max_files", [1, 100])
+def test_streamed_fresh_lookups_equal_loop(spark, visit_files, max_files):
+    path, rows = visit_files
+    seen = sorted(((f"d{i % 60}.com" if i % 3 else "hot.com", START + timedelta(hours=i * 37 % 719)) for i in range(400)), key=lambda r: r[1])
+    seen += [("tie.com", START + timedelta(hours=1))] * 2
+    obs, over = ended(spark, in_files(spark, sorted(seen, key=lambda r: r[1]), "host string, observed_at timestamp", 100), max_files, "observed_at")
+    visits, finish = ended(spark, path, max_files)
+    with flows.rocksdb(spark):
+        got = {r["event_id"]: r["fresh"] for r in flows.run_to_table(flows.fresh_lookup(visits, obs), "f", finish, over).collect()}
+    day = timedelta(hours=24)
+    assert got == {i: any(h == d and t <= ts and ts - t < day for h, t in seen) for i, d, ts, _ in rows}
+
+
+def test_late_rows_come_out_beside_the_counts(spark):
+    hour = lambda h, m=0: START + timedelta(hours=h, minutes=m)
+    portions = [[(1, "a", hour(0)), (2, "a", hour(30))], [(3, "a", hour(20)), (4, "a", hour(19, 59)), (5, "b", hour(29)), (6, "a", hour(60))],
+                [(7, "a", hour(50)), (8, "b", hour(1)), (9, "a", hour(50, 30))]]
+    frames = [spark.createDataFrame(p, "event_id long, label string, ts timestamp") for p in portions]
     with flows.rocksdb(spark):
-        got = flows.run_to_table(flows.collapse_lookups(stream, ttl_for_label(F.col("label")), "1 minute"), "h").collect()
-    assert {r["event_id"] for r in got} == made_lookups(rows, timedelta(minutes=1))
+        got = flows.run_portions(frames, "ts", lambda d: flows.count_with_late(d, "label", 36_000), "p").collect()
+    assert sorted(r["late_id"] for r in got if r["late_id"]) == [4, 8]
+    base = int((START - datetime(1970, 1, 1)).total_seconds() * 1000)
+    counts = {(r["label"], (r["start_ms"] - base) // 3_600_000): r["n"] for r in got if r["late_id"] is None}
+    assert counts == {("a", 0): 1, ("a", 30): 1, ("a", 20): 1, ("b", 29): 1, ("a", 60): 1, ("a", 50): 2}
+
+
+def test_deltas_are_merged_by_level(spark):
+    rng = random.Random(8)
+    rows = [(f"k{rng.randrange(40)}", i, rng.random()) for i in range(600)]
+    path = scratch_path(spark, "deltas")
+    table = DeltaTable(spark, path, ["key"], ["i"], fanout=3)
+    for n in range(30):
+        table.add(spark.createDataFrame(rows[n * 20:n * 20 + 20], "key string, i long, x double").coalesce(1), n)
+        if n in (7, 29):
+            table.add(spark.createDataFrame([("k1", 10_000, 0.0)], "key string, i long, x double"), n)  # repeated: ignored
+    newest = {k: (k, i, x) for k, i, x in rows}
+    assert sorted(map(tuple, table.read().collect())) == sorted(newest.values())
+    assert len(table.segments()) <= table.most_segments(30) <= 8 and table.versions() == list(range(30))
+    early = {k: (k, i, x) for k, i, x in rows[:220]}
+    assert sorted(map(tuple, table.read(10).collect())) == sorted(early.values())
+    before = sorted(map(tuple, table.read().collect()))
+    assert table.vacuum() > 20 and sorted(map(tuple, table.read().collect())) == before and table.versions() == [28, 29]
+    again = DeltaTable(spark, path, ["key"], ["i"], fanout=3)
+    again.add(spark.createDataFrame([("new", 1, 0.0)], "key string, i long, x double"), 30)
+    assert again.read().count() == len(before) + 1
+    with pytest.raises(ValueError, match="no batch"):
+        DeltaTable(spark, scratch_path(spark, "none"), ["key"], ["i"]).read()
 
 
 @pytest.mark.parametrize("max_files", [1, 100])

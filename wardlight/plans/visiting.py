@@ -8,7 +8,7 @@ from wardlight.operators import navigation as N
 from wardlight.operators import sessions as R
 from wardlight.plans.parsing import _URL_HOST
 from wardlight.plans.registry import query, with_inputs
-from wardlight.sources.adapters import adapted
+from wardlight.sources.adapters import DUCK_SQL, adapted
 from wardlight.streaming import windows as W
 
 _SKIP = ("CASE WHEN h IN ('', 'localhost') THEN '' ELSE h END AS host")
@@ -20,7 +20,10 @@ _PAIRS = """SELECT tab_id, commit_id, event_id AS complete_id, host FROM (SELECT
   WHERE url = curl AND host <> ''"""
 
 
-@query("jn9_navigation_pairs", with_inputs("nav", "SELECT * FROM p", n=_NAV, ch=_CHANGES, p=_PAIRS))
+PAIRS = with_inputs("nav", "SELECT * FROM p", n=_NAV, ch=_CHANGES, p=_PAIRS)
+
+
+@query("jn9_navigation_pairs", PAIRS)
 def navigation_pairs(spark, sf):
     return N.navigation_pairs(adapted(spark, sf, "nav"))
 
@@ -38,17 +41,11 @@ def host_changes(spark, sf):
 
 
 # The lookups that are made: per domain the first, then each first one after the last one's time is over.
-MADE = """WITH RECURSIVE visits AS ({visits}), v AS (SELECT *, epoch_us(ts) AS t, CASE WHEN label = 'safe' THEN 3600 ELSE 900 END::BIGINT * 1000000 AS ttl FROM visits),
+MADE = f"""WITH RECURSIVE visits AS ({DUCK_SQL["visits"]}), v AS (SELECT *, epoch_us(ts) AS t, CASE WHEN label = 'safe' THEN 3600 ELSE 900 END::BIGINT * 1000000 AS ttl FROM visits),
   m AS (SELECT domain, event_id, t, ttl FROM v QUALIFY row_number() OVER (PARTITION BY domain ORDER BY t, event_id) = 1
     UNION ALL SELECT domain, event_id, t, ttl FROM (SELECT v.domain, v.event_id, v.t, v.ttl, row_number() OVER (PARTITION BY v.domain ORDER BY v.t, v.event_id) AS rn
       FROM m JOIN v ON v.domain = m.domain AND v.t >= m.t + m.ttl) WHERE rn = 1)
-  SELECT domain, event_id FROM m WHERE t <= (SELECT max(t) // 1000 * 1000 FROM v) - {delay_us}"""
-
-
-def made_sql(delay_us: int) -> str:
-    from wardlight.sources.adapters import DUCK_SQL
-
-    return MADE.replace("{visits}", DUCK_SQL["visits"]).replace("{delay_us}", str(delay_us))
+  SELECT domain, event_id FROM m"""
 
 
 @query("st4_visit_sessions", with_inputs("visits", """SELECT domain, session::BIGINT AS session, epoch_us(min(ts)) AS started_us, epoch_us(max(ts)) AS ended_us, count(*) AS visits FROM
