@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wardlight.operators import ensembles, hooks, learning, metrics
 from wardlight.schemas import FEATURE_NAMES
@@ -91,6 +92,35 @@ def test_exact_split_counts(spark):
         assert counts[label, True] == round(total * 0.2)
 
 
+def test_exact_split_ranks_few_rows(spark, monkeypatch):
+    """Against a full ranking; with a hash of few values ties are many and still split by key."""
+    rows = [(f"d{i}", i % 3 if i % 50 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "domain string, label int")
+    for bits in (None, 3):
+        if bits:
+            plain = learning.hash_fraction
+            monkeypatch.setattr(learning, "hash_fraction", lambda seed, c: F.floor(plain(seed, c) * 2**bits) / 2**bits)
+        got = learning.exact_split(df, 0.3, "s")
+        by = Window.partitionBy("label").orderBy(learning.hash_fraction("s", F.col("domain")), "domain")
+        want = df.withColumn("is_test", F.row_number().over(by) <= F.round(F.count("*").over(Window.partitionBy("label")) * 0.3))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert not any(r["is_test"] for r in learning.exact_split(df, 0.0, "s").collect())
+
+
+def test_oversampling_does_not_depend_on_ranges_or_blocks(spark, monkeypatch):
+    """The same synthetic rows for one range and many, and every neighbour within reach is met."""
+    rng = random.Random(3)
+    rows = [(f"p{i}", 1, rng.random(), rng.random(), rng.choice("xyz")) for i in range(300)] + [(f"n{i}", 0, 5.0, 5.0, "x") for i in range(4000)]
+    df = spark.createDataFrame(rows, "domain string, label int, a double, b double, tld string")
+    made = []
+    for rows_a_range, block in ((10**6, 10**6), (150, 100), (400, 33)):
+        monkeypatch.setattr(learning, "ROWS_PER_RANGE", rows_a_range)
+        monkeypatch.setattr(learning, "BLOCK_ROWS", block)
+        out = learning.oversample(df, continuous=["a", "b"], categorical=["tld"], reach=16).where("synthetic")
+        made.append(sorted(map(str, out.collect())))
+    assert made[0] == made[1] == made[2] and len(made[0]) == 1700
+
+
 @pytest.mark.parametrize("reach", [64, 4])
 def test_oversampling_stays_between_neighbours(spark, reach):
     rows = [(f"p{i}", 1, float(i % 40), float(i % 7), "xyz" if i % 3 else "top") for i in range(60)]

@@ -61,18 +61,17 @@ def build_feature_matrix(labeled: DataFrame, limit: int | None = None, order_col
                          store: DataFrame | None = None, **options) -> DataFrame:
     """(domain, 48 features, label): each distinct domain is extracted once.
 
-    ``store`` holds features computed earlier (domain + 48 columns); only the
-    domains it lacks are computed.
+    ``store`` holds features computed earlier (domain + 48 columns, one row a domain); only
+    the domains it lacks are computed.  Stored and fresh rows are joined with the labels
+    apart, so that a store bucketed by domain isn't shuffled.
     """
     work = labeled if limit is None else labeled.orderBy(order_col).limit(limit)
     domains = work.select("domain").distinct()
     if store is None:
-        feats = assemble(domains, **options)
-    else:
-        have = store.select("domain", *FEATURE_NAMES)
-        fresh = assemble(pending(domains, have), **options)
-        feats = have.join(domains, "domain", "left_semi").unionByName(fresh)
-    return label_join(feats, work)
+        return label_join(assemble(domains, **options), work)
+    have = store.select("domain", *FEATURE_NAMES)
+    fresh = assemble(pending(domains, have), **options)
+    return label_join(have, work).unionByName(label_join(fresh, work))
 
 
 def pending(domains: DataFrame, store: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,10 @@ from wardlight.session import checkpoint, scratch_path
 TEST_SHARE, VALIDATION_SHARE = 0.2, 0.1
 IMBALANCE, MINORITY_RATIO, NEIGHBOURS = 0.10, 0.5, 5
 TABLES, REACH, ROWS_PER_RANGE = 8, 32, 100_000
-HISTOGRAM = 4096
+#: Places of an order that one task compares.
+BLOCK_ROWS = 20_000
+#: Bits of the hash that splits go by, and of it that are counted at once.
+HASH_BITS, DIGIT_BITS = 32, 8
 
 
 # --- splits --------------------------------------------------------------------
@@ -37,25 +41,29 @@ def exact_split(df: DataFrame, share: float, seed: str, key: str = "domain", lab
                 out: str = "is_test") -> DataFrame:
     """Marks exactly round(share * n) rows per class (keys must be unique).
 
-    The cut is found from a fixed histogram of hash values per class; only the
-    rows in the cut's own bin are ranked.
+    Radix selection of the cut: rows are counted by the leading ``DIGIT_BITS`` of their
+    32-bit hash, then inside the digit that holds the cut by the next ones, down to one
+    hash value.  Only the rows of that value are ranked, about one in 2^32 of the class.
     """
-    work = df.withColumn("_h", hash_fraction(seed, F.col(key)))
-    binned = work.withColumn("_bin", F.floor(F.col("_h") * HISTOGRAM))
-    counts = binned.groupBy(label, "_bin").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(label).orderBy("_bin")
-    wanted = F.round(F.sum("_n").over(Window.partitionBy(label)) * share)
-    cut = counts.withColumns({
-        "_before": F.sum("_n").over(order) - F.col("_n"), "_want": wanted}).where(
-        (F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_n"))).select(
-        label, "_bin", (F.col("_want") - F.col("_before")).alias("_need"))
-    # One bin per class.
-    ranked = binned.join(F.broadcast(cut), [label, "_bin"]).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(label).orderBy("_h", key)))
-    last = ranked.where(F.col("_rank") == F.col("_need")).select(
-        F.col(label).alias("_label"), F.struct("_h", key).alias("_last"))
-    marked = work.join(F.broadcast(last), F.col(label) == F.col("_label"), "left")
-    inside = F.coalesce(F.struct("_h", key) <= F.col("_last"), F.lit(False))
+    work = df.withColumn("_h", F.floor(hash_fraction(seed, F.col(key)) * 2**HASH_BITS))
+    wanted = F.round(F.count("*") * share).alias("_need")
+    cut = df.groupBy(F.col(label).alias("_label")).agg(wanted).where("_need > 0").withColumn("_value", F.lit(0).cast("long"))
+    for shift in range(HASH_BITS - DIGIT_BITS, -1, -DIGIT_BITS):
+        # ``_value``: the digits before this one, at first none
+        inside = work.join(cut, work[label].eqNullSafe(F.col("_label"))).where(
+            F.shiftright("_h", shift + DIGIT_BITS) == F.col("_value"))
+        counts = inside.groupBy("_label", F.shiftright("_h", shift).alias("_digit")).agg(F.count("*").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy("_label").orderBy("_digit"))
+        need = cut.select(F.col("_label").alias("_class"), "_need")
+        cut = (counts.withColumn("_upto", upto).join(need, F.col("_label").eqNullSafe(F.col("_class")))
+               .where((F.col("_upto") - F.col("_n") < F.col("_need")) & (F.col("_need") <= F.col("_upto")))
+               .select("_label", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"), F.col("_digit").alias("_value")))
+        cut = checkpoint(cut)
+    ranked = work.join(cut, work[label].eqNullSafe(F.col("_label")) & (F.col("_h") == F.col("_value"))).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_label").orderBy(key)))
+    last = ranked.where(F.col("_rank") == F.col("_need")).select("_label", F.struct("_h", F.col(key).alias("_k")).alias("_last"))
+    marked = work.join(last, work[label].eqNullSafe(F.col("_label")), "left")
+    inside = F.coalesce(F.struct("_h", F.col(key).alias("_k")) <= F.col("_last"), F.lit(False))
     return marked.withColumn(out, inside).drop("_h", "_label", "_last")
 
 
@@ -111,7 +119,7 @@ def oversample(df: DataFrame, mode: str = "auto", key: str = "domain", label: st
     A row's neighbours are the nearest of those within ``reach`` places of it in any of
     ``tables`` orders, each by a random projection of all continuous features; up to
     ``reach`` + 1 minority rows that is an exact search.  The method is the same for any
-    number of rows: the orders are range sorted over tasks and no bucket is a group.
+    number of rows, and the rows made don't depend on how the orders are cut for tasks.
     """
     plan = oversample_plan(df, mode, label=label, **rule).first()
     real = df.withColumn("synthetic", F.lit(False))
@@ -126,8 +134,11 @@ def oversample(df: DataFrame, mode: str = "auto", key: str = "domain", label: st
     rows = first.withColumn("_copies", F.lit(base) + F.col("_more").cast("int"))
     k = int(plan["k_neighbors"])
     near = _nearest(rows, key, continuous, categorical, spread, penalty, k, seed, tables, reach, plan["n_minority"])
-    made = near.groupBy("key").applyInPandas(
-        _synthesizer(continuous, categorical, k, seed), "key string, number int, x array<double>, cats array<string>")
+    # at most k of each order: a short list a row
+    best = F.slice(F.array_sort(F.collect_set(F.struct("gap", "other", "other_x", "other_cats"))), 1, k)
+    lists = near.groupBy("key", "x", "copies").agg(best.alias("near")).select(
+        "key", "x", "copies", F.flatten("near.other_x").alias("near_x"), F.flatten("near.other_cats").alias("near_cats"))
+    made = lists.mapInPandas(_synthesizer(len(categorical), seed), "key string, number int, x array<double>, cats array<string>")
     fixed = {c: F.get("x", F.lit(i)) for i, c in enumerate(continuous)} | {
         c: F.get("cats", F.lit(i)) for i, c in enumerate(categorical)}
     kinds = dict(df.dtypes)
@@ -138,8 +149,31 @@ def oversample(df: DataFrame, mode: str = "auto", key: str = "domain", label: st
     return real.unionByName(made.select(*columns).withColumn("synthetic", F.lit(True)))
 
 
+def _placed(rows: DataFrame, tables: int, n_rows: int) -> DataFrame:
+    """``rows`` (table, place, key, ...) with ``rank``, their number in the order of (table, place, key).
+
+    Ranges are sorted apart and numbered from the counts of those before them, so ranks
+    don't depend on how many ranges there are.
+    """
+    ranges = max(1, -(-n_rows * tables // ROWS_PER_RANGE))
+    path = scratch_path(rows.sparkSession, "places")
+    (rows.repartitionByRange(ranges, "table", "place", "key").sortWithinPartitions("table", "place", "key")
+     .withColumn("_at", F.monotonically_increasing_id()).write.parquet(path))
+    written = rows.sparkSession.read.parquet(path)
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = written.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a range
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (written.withColumn("_part", part).join(firsts, "_part")
+            .withColumn("rank", F.col("_before") + inside).drop("_at", "_part", "_before"))
+
+
 def _nearest(rows, key, continuous, categorical, spread, penalty, k, seed, tables, reach, n_rows) -> DataFrame:
-    """(key, other, gap, x, cats, other_x, other_cats, copies): near rows of each row that is copied."""
+    """(key, other, gap, x, other_x, other_cats, copies): near rows of each row that is copied.
+
+    The order of each projection is cut into blocks of ``BLOCK_ROWS`` places; a block's
+    task also gets the ``reach`` rows on both sides of it, so no row lacks neighbours.
+    """
     scale = np.array([1 / s if s else 0.0 for s in spread])
     ways = np.random.default_rng(seed).standard_normal((tables, len(continuous))) * scale
 
@@ -150,12 +184,13 @@ def _nearest(rows, key, continuous, categorical, spread, penalty, k, seed, table
                 for t in range(tables):
                     yield pdf.assign(table=t, place=x @ ways[t])
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [pdf for pdf in batches if len(pdf)]
-        if not held:
-            return
-        for _, pdf in pd.concat(held, ignore_index=True).groupby("table"):
-            pdf = pdf.reset_index(drop=True)
+    def lists(rows: np.ndarray) -> pd.Series:
+        return pd.Series(list(rows), dtype=object)  # also where there are none
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("rank")
+        found = []
+        for _, pdf in block.groupby("table"):
             n = len(pdf)
             x, cats = np.stack(pdf["x"].to_numpy()), np.stack(pdf["cats"].to_numpy())
             gaps = np.full((n, 2 * reach), np.inf)
@@ -163,41 +198,46 @@ def _nearest(rows, key, continuous, categorical, spread, penalty, k, seed, table
                 gap = ((x[o:] - x[:-o]) ** 2).sum(1) + penalty * (cats[o:] != cats[:-o]).sum(1)
                 gaps[:-o, o - 1] = gap
                 gaps[o:, reach + o - 1] = gap
+            asks = (pdf["_copies"].to_numpy() > 0) & pdf["own"].to_numpy()
             best = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-            i, j = np.nonzero(np.isfinite(np.take_along_axis(gaps, best, 1)))
+            i, j = np.nonzero(np.isfinite(np.take_along_axis(gaps, best, 1)) & asks[:, None])
             step = best[i, j]
             other = i + np.where(step < reach, step + 1, reach - step - 1)
-            use = pdf["_copies"].to_numpy()[i] > 0
-            i, other, step = i[use], other[use], step[use]
-            yield pd.DataFrame({
+            found.append(pd.DataFrame({
                 "key": pdf["key"].to_numpy()[i], "other": pdf["key"].to_numpy()[other], "gap": gaps[i, step],
-                "x": list(x[i]), "cats": list(cats[i]), "other_x": list(x[other]), "other_cats": list(cats[other]),
-                "copies": pdf["_copies"].to_numpy()[i]})
+                "x": lists(x[i]), "other_x": lists(x[other]), "other_cats": lists(cats[other]), "copies": pdf["_copies"].to_numpy()[i]}))
+        return pd.concat(found, ignore_index=True)
 
     shape = "key string, x array<double>, cats array<string>, _copies long"
     slim = rows.select(
         F.col(key).cast("string").alias("key"), F.array(*[F.col(c).cast("double") for c in continuous]).alias("x"),
         F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in categorical]).cast("array<string>").alias("cats"),
         F.col("_copies").cast("long").alias("_copies"))
-    ranges = max(1, -(-n_rows * tables // ROWS_PER_RANGE))
-    ordered = (slim.mapInPandas(project, f"{shape}, table int, place double")
-               .repartitionByRange(ranges, "table", "place", "key").sortWithinPartitions("table", "place", "key"))
-    return ordered.mapInPandas(compare, "key string, other string, gap double, x array<double>, cats array<string>,"
-                                        " other_x array<double>, other_cats array<string>, copies long")
-
-
-def _synthesizer(continuous, categorical, k, seed):
-    """For one row and its near rows (at most ``k`` from each order): its copies."""
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("other").sort_values(["gap", "other"]).head(k)
-        n, own = int(pdf["copies"].iloc[0]), np.asarray(pdf["x"].iloc[0])
-        rng = np.random.default_rng([seed, zlib.crc32(pdf["key"].iloc[0].encode())])
-        others = np.stack(pdf["other_x"].to_numpy())
-        x = own + rng.random(n)[:, None] * (others[rng.integers(len(others), size=n)] - own)
-        names = np.stack(pdf["other_cats"].to_numpy()) if categorical else np.zeros((len(pdf), 0), object)
-        modes = [pd.Series(names[:, c]).mode().iloc[0] for c in range(len(categorical))]
-        return pd.DataFrame({"key": pdf["key"].iloc[0], "number": np.arange(n, dtype=np.int32), "x": list(x),
-                             "cats": [modes] * n})
+    placed = _placed(slim.mapInPandas(project, f"{shape}, table int, place double"), tables, n_rows)
+    block = lambda r: F.floor(r / BLOCK_ROWS)
+    rank = F.col("rank")
+    dealt = placed.withColumn("block", F.explode(F.array_distinct(F.array(block(rank), block(rank - reach), block(rank + reach)))))
+    return dealt.withColumn("own", F.col("block") == block(rank)).groupBy("block").applyInPandas(
+        compare, "key string, other string, gap double, x array<double>, other_x array<double>, other_cats array<string>, copies long")
+
+
+def _synthesizer(n_categorical: int, seed: int):
+    """The copies of each row from its list of near rows, a batch at a time."""
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = []
+            for key, own, n, near, cats in zip(pdf["key"], pdf["x"], pdf["copies"], pdf["near_x"], pdf["near_cats"]):
+                n, own = int(n), np.asarray(own)
+                rng = np.random.default_rng([seed, zlib.crc32(key.encode())])
+                others = np.asarray(near).reshape(-1, len(own))
+                x = own + rng.random(n)[:, None] * (others[rng.integers(len(others), size=n)] - own)
+                modes = []
+                for c in range(n_categorical):
+                    names = Counter(cats[c::n_categorical])
+                    modes.append(min(names, key=lambda v: (-names[v], v)))
+                parts.append(pd.DataFrame({"key": key, "number": np.arange(n, dtype=np.int32), "x": list(x), "cats": [modes] * n}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     return make
 

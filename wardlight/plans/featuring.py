@@ -14,7 +14,9 @@ from wardlight.plans.parsing import CLEANED, PREPARED, cleaned, rounded
 from wardlight.plans.registry import query, with_inputs
 from wardlight.schemas import (
     CATEGORICAL_FEATURES, CONTINUOUS_FEATURES, FEATURE_NAMES, NETWORK_DEFAULTS, NETWORK_FEATURES, STRUCTURAL_FEATURES)
+from wardlight.session import scratch_path
 from wardlight.sources.adapters import adapted
+from wardlight.sources.store import FeatureStore
 
 AS_OF = "2024-01-20 12:00:00"
 REPORT_COLUMNS = ["tld", "domain_length", "entropy", "typosquat_distance", *NETWORK_FEATURES]
@@ -159,11 +161,15 @@ def matrix_head(spark, sf):
 @query("asm4_incremental_matrix", with_inputs("labeled", """SELECT c.domain, CASE WHEN length(c.domain) % 2 = 0 THEN 1000 ELSE lex.num_dots END::INT AS num_dots,
   c.label FROM cleaned c JOIN lex ON c.domain = lex.domain""", **_MATRIX))
 def incremental_matrix(spark, sf):
-    """Half of the domains come from a store (recognisable by num_dots)."""
+    """Half of the domains come from a bucketed store (recognisable by num_dots), added in two steps."""
     rows = cleaned(spark, sf)
     old = rows.select("domain").distinct().where(F.length("domain") % 2 == 0)
-    store = A.assemble(old, include_network=False).withColumn("num_dots", F.lit(1000))
-    return A.build_feature_matrix(rows, store=store, include_network=False).select("domain", "num_dots", "label")
+    path = scratch_path(spark, "features")
+    store = FeatureStore(spark, f"features_{path.rsplit('-', 1)[1]}", path, 8)
+    for part in (0, 1):
+        store.add(A.assemble(old.where(F.pmod(F.length("domain"), F.lit(4)) == 2 * part), include_network=False).withColumn(
+            "num_dots", F.lit(1000)))
+    return A.build_feature_matrix(rows, store=store.read(), include_network=False).select("domain", "num_dots", "label")
 
 
 @query("set2_pending_domains", with_inputs("labeled", "SELECT DISTINCT domain FROM cleaned WHERE length(domain) % 2 = 1",

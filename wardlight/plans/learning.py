@@ -134,11 +134,11 @@ def model_card(spark, sf):
 
 @query("src1_labeled_csv", with_inputs("labeled", "SELECT domain, label FROM firsts", **_ROWS))
 def labeled_csv(spark, sf):
-    """The raw set written as CSV, read back and cleaned in file order."""
+    """The raw set written as several CSV files in row order, read back and cleaned in file order."""
     path = scratch_path(spark, "labeled")
-    rows = adapted(spark, sf, "labeled").orderBy("row_id").select(
-        F.col("domain").alias("Domain"), F.col("label").alias(" LABEL"))
-    rows.coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
+    rows = (adapted(spark, sf, "labeled").repartitionByRange(8, "row_id").sortWithinPartitions("row_id")
+            .select(F.col("domain").alias("Domain"), F.col("label").alias(" LABEL")))
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False).csv(path)
     return clean.dedupe_first(clean.clean_labeled(readers.load_labeled(spark, path)), "row_order").select("domain", "label")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wardlight.schemas import FEATURE_MATRIX, FEATURE_NAMES
 
@@ -12,15 +13,28 @@ def _lowered(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower() for c in df.columns])
 
 
+def in_file_order(rows: DataFrame, out: str) -> DataFrame:
+    """Numbers the rows of a file scan from 0: files by path, splits by offset, rows as they stand.
+
+    Each split is counted in its own task and the numbers start from the counts of the
+    splits before it, so there is no sort of rows and no single task.
+    """
+    placed = rows.withColumns({"_file": F.col("_metadata.file_path"), "_from": F.col("_metadata.file_block_start"),
+                               "_at": F.monotonically_increasing_id()})
+    splits = placed.groupBy("_file", "_from").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file", "_from").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    firsts = splits.select("_file", "_from", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return (placed.join(firsts, ["_file", "_from"]).withColumn(out, F.col("_at") + F.col("_shift"))
+            .select(*rows.columns, out))
+
+
 def load_labeled(spark: SparkSession, path: str) -> DataFrame:
     """(row_order, domain, label) from CSV with a header in any case.
 
-    ``row_order`` sorts like the file: path, split offset, position in it.
+    ``row_order`` numbers the rows from 0 in the order of files by path and of rows in them.
     """
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
-                     F.monotonically_increasing_id().alias("position"))
-    df = _lowered(raw.withColumn("row_order", place))
+    df = _lowered(in_file_order(raw, "row_order"))
     missing = {"domain", "label"} - set(df.columns)
     if missing:
         raise ValueError(f"{path} lacks required column(s) {sorted(missing)}")
