@@ -95,11 +95,12 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, f1 long, f2 long, sketch binary")
 
 
-def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: int,
-               percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, roots: np.ndarray, least: int, percent: int,
+               nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows near each other in a sorted order: (a, b, bytes in which they agree).
 
-    They agree in ``least`` bytes, and their sets' sizes don't rule the similarity out.
+    They agree in ``least`` bytes, have different roots, and their sets' sizes don't rule the
+    similarity out.  With ``nearest`` only rows side by side are compared.
 
     Pairs are of two kinds.  Each row is compared with the ``REACH`` rows before and after
     it; in a dense region those are the ones most like it.  And each row of a region of
@@ -118,7 +119,7 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: in
     differ = sketch[1:] != sketch[:-1]
     lcp = np.where(differ.any(1), differ.argmax(1), sketch.shape[1])
     shared = lcp.copy()
-    for step in range(1, min(REACH, n - 1) + 1):
+    for step in range(1, min(1 if nearest else REACH, n - 1) + 1):
         if step > 1:
             shared = np.minimum(shared[1:], lcp[:n - step])
         at = np.flatnonzero(shared >= DEPTH)
@@ -131,12 +132,12 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: in
         for part in np.array_split(at, max(1, len(at) // 100_000)):
             same = (sketch[part] == sketch[part + step]).sum(1)
             x, y = sizes[part], sizes[part + step]
-            use = (same >= least) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            use = (same >= least) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (roots[part] != roots[part + step])
             x, y = ids[part[use]], ids[part[use] + step]
             a.append(np.minimum(x, y))
             b.append(np.maximum(x, y))
             score.append(same[use].astype(np.int32))
-    for depth in CENTRES:
+    for depth in () if nearest else CENTRES:
         cuts = np.r_[0, np.flatnonzero(lcp < depth) + 1, n]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if high - low > REACH + 1:
@@ -146,7 +147,8 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: in
                 centre = int((block == commonest).sum(1).argmax())
                 same = (block == block[centre]).sum(1)
                 x, y = sizes[low:high], sizes[low + centre]
-                use = np.flatnonzero((same >= least) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)))
+                use = np.flatnonzero((same >= least) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+                                     & (roots[low:high] != roots[low + centre]))
                 a.append(np.minimum(ids[low + use], ids[low + centre]))
                 b.append(np.maximum(ids[low + use], ids[low + centre]))
                 score.append(same[use].astype(np.int32))
@@ -157,8 +159,11 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, least: in
     return np.append(a, marks), np.append(b, marks), np.append(score, np.zeros(len(marks), np.int32))
 
 
-def candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, score), a < b, of the representatives ``sets`` (key, n, sketch), and (a, a, 0) of crowded ones.
+def candidates(sets: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b, score), a < b, of the representatives ``sets`` (key, n, sketch, root), and (a, a, 0) of crowded ones.
+
+    Rows of one root are no pair.  With ``nearest`` only rows that stand side by side in
+    an order are, and none is crowded.
 
     Every tree is one order of the hash bytes.  All rows of all trees are range
     sorted together, by tree, bytes and id, so a large region is spread over tasks; each
@@ -184,56 +189,58 @@ def candidates(sets: DataFrame, percent: int) -> DataFrame:
                 ends = (np.arange(len(body) + 1) * (HASHES + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.Array.from_buffers(pa.binary(), len(body), [
-                        None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())]), batch["key"], batch["n"]],
-                    ["order", "key", "n"])
+                        None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())]), batch["key"], batch["n"], batch["root"]],
+                    ["order", "key", "n", "root"])
 
-    ordered = (sets.select("key", "n", "sketch").mapInArrow(spread_out, "order binary, key long, n long")
+    ordered = (sets.select("key", "n", "sketch", "root").mapInArrow(spread_out, "order binary, key long, n long, root long")
                .repartitionByRange(ranges, "order", "key").sortWithinPartitions("order", "key"))
 
-    def read(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, sizes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, HASHES + 1), np.uint8)]
+    def read(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        ids, sizes, roots, keys = [none], [none], [none], [np.zeros((0, HASHES + 1), np.uint8)]
         for batch in batches:
             ids.append(batch["key"].to_numpy())
             sizes.append(batch["n"].to_numpy())
+            roots.append(batch["root"].to_numpy())
             keys.append(np.frombuffer(b"".join(batch["order"].to_pylist()), np.uint8).reshape(-1, HASHES + 1))
-        return np.concatenate(ids), np.concatenate(sizes), np.concatenate(keys)
+        return np.concatenate(ids), np.concatenate(sizes), np.concatenate(roots), np.concatenate(keys)
 
-    def within(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [neighbours(ids[:0], keys[:0, 1:], sizes[:0], least, percent)]
+    def within(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [neighbours(ids[:0], keys[:0, 1:], sizes[:0], roots[:0], least, percent, nearest)]
         for tree in np.unique(keys[:, 0]).tolist():
             own = keys[:, 0] == tree
-            found.append(neighbours(ids[own], keys[own, 1:], sizes[own], least, percent))
+            found.append(neighbours(ids[own], keys[own, 1:], sizes[own], roots[own], least, percent, nearest))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, keys = read(batches)
+        ids, sizes, roots, keys = read(batches)
         if not len(ids):
             return
         part = TaskContext.get().partitionId()
-        a, b, score = within(ids, sizes, keys)
+        a, b, score = within(ids, sizes, roots, keys)
         for at in range(0, len(a), 50_000):
             cut = slice(at, at + 50_000)
             m = len(a[cut])
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.array(a[cut]),
-                 pa.array(b[cut]), pa.array(score[cut])], ["part", "head", "order", "a", "b", "score"])
+                 pa.array(b[cut]), pa.array(score[cut]), pa.nulls(m, pa.int64())], ["part", "head", "order", "a", "b", "score", "root"])
         for head, cut in ((True, slice(0, REACH)), (False, slice(max(0, len(ids) - REACH), None))):
             m = len(ids[cut])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part] * m, pa.int32()), pa.array([head] * m), pa.array([k.tobytes() for k in keys[cut]]),
-                 pa.array(ids[cut]), pa.array(sizes[cut]), pa.nulls(m, pa.int32())],
-                ["part", "head", "order", "a", "b", "score"])
+                 pa.array(ids[cut]), pa.array(sizes[cut]), pa.nulls(m, pa.int32()), pa.array(roots[cut])],
+                ["part", "head", "order", "a", "b", "score", "root"])
 
     path = scratch_path(spark, "neighbours")
-    ordered.mapInArrow(paired, "part int, head boolean, order binary, a long, b long, score int").write.parquet(path)
+    ordered.mapInArrow(paired, "part int, head boolean, order binary, a long, b long, score int, root long").write.parquet(path)
     made = spark.read.parquet(path)
     edges = made.where("part is not null")
     parts = edges.select("part").distinct()
     following = parts.withColumn("next", F.lead("part").over(Window.orderBy("part")))  # a row a task
     seams = (edges.where("not head").join(following, "part").where("next is not null")
-             .select(F.col("next").alias("seam"), "order", F.col("a").alias("key"), F.col("b").alias("n"))
+             .select(F.col("next").alias("seam"), "order", F.col("a").alias("key"), F.col("b").alias("n"), "root")
              .unionByName(edges.where("head").select(
-                 F.col("part").alias("seam"), "order", F.col("a").alias("key"), F.col("b").alias("n"))))
+                 F.col("part").alias("seam"), "order", F.col("a").alias("key"), F.col("b").alias("n"), "root")))
 
     def across(group: pa.Table) -> pa.Table:
         group = group.sort_by([("order", "ascending"), ("key", "ascending")])
@@ -421,8 +428,10 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets of
     distinct ``size``-word shingles (a shorter text is one shingle).  ``component_id`` is
     the smallest id reachable over links, ``kept`` is true for that id.  Exact copies
-    of a set are one node from the start.  The likeliest links are confirmed first; the
-    other candidates are confirmed only where they would still join two components, so
+    of a set are one node from the start.  Rows side by side in an order are confirmed
+    first and joined to components; then the orders are read again for the other
+    candidates, and only those of different components come out.  The likeliest of them
+    are confirmed first, the others only where they would still join two components, so
     every candidate is either confirmed, refuted or within one component.  Crowded rows,
     whose neighbours went beyond ``REACH`` in an order, then go through ``unmet``: all
     pairs of them that may still join two components are confirmed or refuted as well.
@@ -439,32 +448,47 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
     (sets.where("n > 0 and key is not null").groupBy("f1", "f2", "n")
      .agg(F.min("key").alias("key"), F.min("sketch").alias("sketch")).write.parquet(path))
     nodes = spark.read.parquet(path)
-    path = scratch_path(spark, "pairs")
-    candidates(nodes, percent).write.parquet(path)
-    met = spark.read.parquet(path)
-    path = scratch_path(spark, "asked")
-    met.select(F.explode(F.array("a", "b")).alias("key")).distinct().write.parquet(path)
-    asked = spark.read.parquet(path)
-    path = scratch_path(spark, "texts")
-    asked_for(rows, asked).distinct().write.parquet(path)
-    texts = spark.read.parquet(path)
-    links = scratch_path(spark, "links")
-
-    def confirm(pairs: DataFrame, number: int) -> DataFrame:
-        """Adds two rounds of links: the likeliest of each node, then those that still join two components."""
-        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("one"), F.col("b").alias("other")),
-                                            F.struct(F.col("b").alias("one"), F.col("a").alias("other")))).alias("x"), "a", "b", "score")
-        best = Window.partitionBy("x.one").orderBy(F.desc("score"), "x.other")
-        first = ends.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= FIRST).select("a", "b").distinct()
-        confirmed(first, texts, size, percent).write.parquet(f"{links}/round={number}")
-        known = components(spark.read.parquet(links))
+    links, number = scratch_path(spark, "links"), 0
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        place = scratch_path(spark, name)
+        df.write.parquet(place)
+        return spark.read.parquet(place)
+
+    def rooted(known: DataFrame) -> DataFrame:
+        named = known.select(F.col("node").alias("key"), "root")
+        return nodes.join(named, "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+
+    def link(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Adds the confirmed ones of the pairs (a, b) and returns the components of all links so far."""
+        nonlocal number
+        number += 1
+        confirmed(pairs, texts, size, percent).write.parquet(f"{links}/round={number}")
+        return components(spark.read.parquet(links).select("a", "b"))
+
+    def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Two rounds of links: the likeliest pairs of each node, then those that still join two components."""
+        best = lambda c, o: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("score"), o))
+        first = pairs.withColumn("rank", best("a", "b")).where(F.col("rank") <= FIRST).select("a", "b").unionByName(
+            pairs.withColumn("rank", best("b", "a")).where(F.col("rank") <= FIRST).select("a", "b")).distinct()
+        known = link(first, texts)
         root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         rest = (pairs.join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
                 .where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-        confirmed(rest, texts, size, percent).write.parquet(f"{links}/round={number + 1}")
-        return components(spark.read.parquet(links).select("a", "b"))
-
-    roots = confirm(met.where("a != b"), 1)
+        return link(rest, texts)
+
+    # rows side by side first: in a dense region they join most of it, and what is joined makes no more pairs
+    beside = kept(candidates(nodes.withColumn("root", F.col("key")), percent, nearest=True), "beside")
+    asked = kept(ends(beside), "asked")
+    texts = kept(asked_for(rows, asked).distinct(), "texts")
+    roots = link(beside.select("a", "b"), texts)
+    met = kept(candidates(rooted(roots), percent).join(beside.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more_asked = kept(ends(met).join(asked, "key", "left_anti"), "asked")
+    texts = texts.unionByName(kept(asked_for(rows, more_asked).distinct(), "texts"))
+    roots = confirm(met.where("a != b"), texts)
     crowd = (met.where("a = b").select(F.col("a").alias("key"))
              .join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
              .select("key", F.coalesce("root", "key").alias("root")))
@@ -476,7 +500,7 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
         unmet(texts.join(crowd, "key"), size, percent).write.parquet(path)
         more = spark.read.parquet(path)
         if not more.isEmpty():
-            roots = confirm(more, 3)
+            roots = confirm(more, texts)
     same = nodes.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), F.col("key").alias("node"))
     found = (sets.select("key", "n", "f1", "f2")
              .join(same, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m"))
@@ -488,18 +512,23 @@ def find_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "d
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all columns; of rows that share an id one."""
+    """The rows of ``docs`` that are kept, with all columns.
+
+    Of rows that share an id and a text one stays; rows that share an id but not the text
+    are different documents, and each text stays if its id is kept.  Rows without an id
+    stay.
+    """
     spark = docs.sparkSession
     path = scratch_path(spark, "groups")
     find_groups(docs, size, percent, key, text).write.parquet(path)
     found = spark.read.parquet(path)
     # written, so that its size is known when the join is planned and a small one moves no text
     path = scratch_path(spark, "left-out")
-    found.where("not kept").select(F.col(key).alias("__id")).write.parquet(path)
+    found.where("not kept").select(F.col(key).alias("__id")).distinct().write.parquet(path)
     left_out = spark.read.parquet(path)
     stays = docs.join(left_out, docs[key] == left_out["__id"], "left_anti")
     again = found.where(F.col(key).isNotNull() & F.col("kept")).groupBy(F.col(key).alias("__id")).count().where("count > 1")
     if again.isEmpty():
         return stays
-    once = stays.join(again, stays[key] == again["__id"], "left_semi").dropDuplicates([key])
+    once = stays.join(again, stays[key] == again["__id"], "left_semi").dropDuplicates([key, text])
     return stays.join(again, stays[key] == again["__id"], "left_anti").unionByName(once)
