@@ -65,7 +65,7 @@ def test_node_table_equals_model_and_adds_up(spark):
     for r in both:
         assert r["score"] == pytest.approx(r["theirs"], abs=1e-9)
         assert r["bias"] + sum(r["contributions"]) == pytest.approx(r["margin"], abs=1e-9)
-    longer = learning.finetune(df, nodes, rounds=3, learning_rate=0.2, depth=3, every=2)
+    longer = learning.finetune(df, nodes, rounds=3, learning_rate=0.2, depth=3)
     assert longer.select("tree").distinct().count() == 7
 
     def loss(table):

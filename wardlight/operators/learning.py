@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -268,22 +268,18 @@ def train_gbt(df: DataFrame, label: str = "label", validation: str | None = None
     return gbt.fit(with_vector(df).withColumn("_y", F.col(label).cast("double")))
 
 
-def model_nodes(model, spark, tree_weight: float | None = None, first_tree: int = 0) -> DataFrame:
-    """A fitted tree model as a node table.
+def model_nodes(model, spark, first_tree: int = 0, tree_scale: float = 2.0) -> DataFrame:
+    """A fitted tree ensemble as a node table.
 
-    A boosted classifier's probability is sigmoid(2 * margin), so its weights
+    A boosted classifier's probability is sigmoid(2 * margin), so by default its weights
     are doubled and ``sigmoid`` of the table's margin is that probability.
     """
     path = scratch_path(spark, "model")
     model.write().save(path)
     data = spark.read.parquet(f"{path}/data")
-    if tree_weight is None:
-        weights = list(model.treeWeights)
-        data = data.select(F.col("treeID").alias("tree"), "nodeData.*")
-        pairs = F.create_map(*[F.lit(x) for i, w in enumerate(weights) for x in (i, 2.0 * w)])
-        weight = F.element_at(pairs, F.col("tree"))
-    else:
-        data, weight = data.withColumn("tree", F.lit(0)), F.lit(float(tree_weight))
+    data = data.select(F.col("treeID").alias("tree"), "nodeData.*")
+    pairs = F.create_map(*[F.lit(x) for i, w in enumerate(model.treeWeights) for x in (i, tree_scale * w)])
+    weight = F.element_at(pairs, F.col("tree"))
     inner = F.col("leftChild") >= 0
     return data.select(
         (F.col("tree") + first_tree).cast("int").alias("tree"), F.col("id").cast("int").alias("node"),
@@ -314,37 +310,31 @@ def cross_validate(df: DataFrame, folds: int = 5, label: str = "label", seed: in
     return metrics, cv_summary(metrics)
 
 
-def finetune(df: DataFrame, nodes: DataFrame, rounds: int = 500, learning_rate: float = 0.02,
-             depth: int = 5, label: str = "label", seed: int = 42, every: int = 5) -> DataFrame:
+def finetune(df: DataFrame, nodes: DataFrame, rounds: int = 500, learning_rate: float = 0.02, depth: int = 5,
+             label: str = "label", seed: int = 42, validation: str | None = None, **params) -> DataFrame:
     """Continues boosting from an existing node table; returns the longer one.
 
-    Every round fits one regression tree to the gradient of the log loss at
-    the current margin, starting from the earlier model's margin.
+    One boosted regression of the log loss's gradient at the earlier model's margin: the
+    new trees fit what the old ones leave, and their sum is added to the margin.  Four times
+    the gradient is at most a Newton step, so the first tree counts whole.  ``validation``
+    names a boolean column whose rows stop the boosting early.
     """
-    spark = df.sparkSession
     first = nodes.agg(F.max("tree")).first()[0] + 1
-    state = score_nodes(df, nodes).withColumn("y", F.col(label).cast("double"))
-    state = checkpoint(with_vector(state).select("features", "vector", "y", "margin"))
-    for i in range(rounds):
-        rows = state.withColumn("residual", F.col("y") - sigmoid(F.col("margin")))
-        tree = DecisionTreeRegressor(featuresCol="vector", labelCol="residual", predictionCol="step",
-                                     maxDepth=depth, minInstancesPerNode=20, seed=seed + i).fit(rows)
-        # Gradients of the log loss are at most 1/4 of a Newton step.
-        weight = 4.0 * learning_rate
-        nodes = nodes.unionByName(model_nodes(tree, spark, weight, first + i))
-        state = tree.transform(rows).withColumn("margin", F.col("margin") + weight * F.col("step")).select(
-            "features", "vector", "y", "margin")
-        if (i + 1) % every == 0:
-            state, nodes = checkpoint(state), checkpoint(nodes)
-    return nodes
-
-
-def model_card(metrics: DataFrame, version: str, training_samples: int | Column,
+    rows = score_nodes(df, nodes).withColumn("residual", 4.0 * (F.col(label).cast("double") - sigmoid(F.col("margin"))))
+    rows = checkpoint(with_vector(rows).select("vector", "residual", *([validation] if validation else [])))
+    gbt = GBTRegressor(featuresCol="vector", labelCol="residual", maxIter=rounds, stepSize=learning_rate, maxDepth=depth,
+                       minInstancesPerNode=RECIPE["minInstancesPerNode"], seed=seed, **params)
+    if validation:
+        gbt = gbt.setValidationIndicatorCol(validation)
+    return nodes.unionByName(model_nodes(gbt.fit(rows), df.sparkSession, first_tree=first, tree_scale=1.0))
+
+
+def model_card(metrics: DataFrame, version: str | Column, training_samples: int | Column,
                notes: str | None = None) -> DataFrame:
-    """Registry row of a trained model from its metrics row."""
+    """Registry rows of trained models from their metrics rows."""
     samples = training_samples if isinstance(training_samples, Column) else F.lit(training_samples)
     return metrics.select(
-        F.lit(version).alias("version"), "accuracy", "f1_score", "auc_roc", "precision_score", "recall_score",
+        (version if isinstance(version, Column) else F.lit(version)).alias("version"), "accuracy", "f1_score", "auc_roc", "precision_score", "recall_score",
         "false_positive_rate", samples.cast("long").alias("training_samples"),
         F.lit(len(FEATURE_NAMES)).alias("feature_count"), F.lit(notes).cast("string").alias("notes"))
 

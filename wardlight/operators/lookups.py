@@ -45,16 +45,20 @@ def known_verdict(df: DataFrame) -> DataFrame:
 
 
 def latest_before(lookups: DataFrame, obs: DataFrame, key: str, ts: str, obs_ts: str, tie: str,
-                  payload: list[str], bucket_seconds: int = 3600) -> DataFrame:
+                  payload: list[str], bucket_seconds: int = 3600, within_seconds: int | None = None) -> DataFrame:
     """As-of join: adds struct ``found`` (obs_ts, payload...), the newest
-    observation at or before the lookup, null if none."""
+    observation at or before the lookup, null if none.
+
+    With ``within_seconds`` older ones needn't be found: they aren't carried on.
+    """
+    reach = None if within_seconds is None else within_seconds * 1_000_000
     return as_of_join(lookups, obs, key, F.unix_micros(ts), F.unix_micros(obs_ts), tie,
-                      [obs_ts, *payload], bucket_seconds * 1_000_000)
+                      [obs_ts, *payload], bucket_seconds * 1_000_000, reach)
 
 
 def as_of_join(lookups: DataFrame, obs: DataFrame, key: str, at: Column, obs_at: Column, tie: str,
-               payload: list[str], bucket_width: int) -> DataFrame:
-    """``latest_before`` over integer positions ``at`` / ``obs_at``.
+               payload: list[str], bucket_width: int, reach: int | None = None) -> DataFrame:
+    """``latest_before`` over integer positions ``at`` / ``obs_at``; beyond ``reach`` nothing is carried.
 
     Both sides are merged and windowed per (key, bucket of positions); the
     observation carried into a bucket comes from a per-bucket aggregate, so a
@@ -72,7 +76,8 @@ def as_of_join(lookups: DataFrame, obs: DataFrame, key: str, at: Column, obs_at:
     edges = merged.groupBy("_k", "_b").agg(newest.alias("_e"), F.max("_side").alias("_asked"))
     before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = (edges.withColumn("_c", F.last("_e", ignorenulls=True).over(before))
-               .where((F.col("_asked") == 1) & F.col("_c").isNotNull())
+               .where((F.col("_asked") == 1) & F.col("_c").isNotNull()
+                      & (F.lit(True) if reach is None else F.col("_b") * bucket_width - F.col("_c._t") < reach))
                .select("_k", "_b", F.col("_c._t").alias("_t"), F.lit(-1).alias("_side"), F.col("_c.found").alias("found")))
     rows = merged.unionByName(carried, allowMissingColumns=True)
     upto = (Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_tie")
@@ -84,7 +89,7 @@ def as_of_join(lookups: DataFrame, obs: DataFrame, key: str, at: Column, obs_at:
 def latest_snapshot(lookups: DataFrame, obs: DataFrame, key: str, ts: str, obs_ts: str, tie: str,
                     payload: list[str], max_age_seconds: int = NETWORK_TTL_SECONDS) -> DataFrame:
     """As-of join that ignores observations of ``max_age_seconds`` or older."""
-    joined = latest_before(lookups, obs, key, ts, obs_ts, tie, payload)
+    joined = latest_before(lookups, obs, key, ts, obs_ts, tie, payload, within_seconds=max_age_seconds)
     age = F.unix_micros(ts) - F.unix_micros(F.col("found")[obs_ts])
     return joined.withColumn("found", F.when(age < max_age_seconds * 1_000_000, F.col("found")))
 
@@ -121,11 +126,15 @@ def bulk_probe(requests: DataFrame, sets: DataFrame, now: Column, tie: str = "se
 
 
 def combine_results(requests: DataFrame, *answers: DataFrame, key: str = "domain", order: str = "pos") -> DataFrame:
-    """Union of answer sets (disjoint by domain) joined back to request order."""
+    """Union of answer sets (disjoint by domain) joined back to the requests, each with its place ``order``.
+
+    Rows stand in that order inside a partition; whoever writes one request's answer sorts
+    that request, not all of them.
+    """
     merged = answers[0]
     for more in answers[1:]:
         merged = merged.unionByName(more)
-    return requests.join(merged, key).orderBy(order)
+    return requests.join(merged, key).sortWithinPartitions(order)
 
 
 def payload_json(df: DataFrame, columns: list[str], out: str = "payload") -> DataFrame:
