@@ -284,6 +284,16 @@ def nearest_popular_chunked(spark, sf):
         "row_id", "sld", "typosquat_distance", "similar_domain")
 
 
+@query("sf15_popular_typosquat", with_inputs("raw_hosts visits", f"""SELECT row_id, typosquat_distance, (typosquat_distance BETWEEN 1 AND 2)::INT AS is_typosquat_candidate,
+  similar_domain FROM ({_NEAREST})""", hosts=HOSTS, parted=PARTED,
+    names="SELECT split_part(domain, '.', 1) AS name FROM visits GROUP BY 1 HAVING count(*) >= 100"))
+def popular_typosquat(spark, sf):
+    """The lexical features against a list of popular names counted from visits."""
+    popular = popular_from_visits(adapted(spark, sf, "visits"), min_visits=100)
+    feats = structural_features(adapted(spark, sf, "raw_hosts"), popular=popular, context=True)
+    return feats.select("row_id", "typosquat_distance", "is_typosquat_candidate", "similar_domain")
+
+
 @query("jn5_typosquat_candidates", with_inputs("raw_hosts", """SELECT s AS sld, name AS similar_domain, levenshtein(replace(s, 'ü', '~'), name)::INT AS distance
   FROM (SELECT DISTINCT sld AS s FROM parted), names WHERE s <> '' AND levenshtein(replace(s, 'ü', '~'), name) BETWEEN 1 AND 2""",
     hosts=HOSTS, parted=PARTED, names=f"SELECT unnest({D.words(TOP_BRANDS)}) AS name"))

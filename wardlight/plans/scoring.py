@@ -316,3 +316,19 @@ def custom_contributions(spark, sf):
                          (F.col("event_id") % 9).cast("double").alias("value"), F.lit(1.0).alias("contribution"))
 
     return K.explain_with(adapted(spark, sf, "analyses"), contributions)
+
+
+@query("udf4_custom_classifier", with_inputs("scored", "SELECT model_version, count(*) AS n, true AS in_range, true AS better_than_chance FROM scored GROUP BY 1"))
+def custom_classifier(spark, sf):
+    """Any classifier with a probability vector as the scorer: here a logistic regression of the outcome on two columns."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from wardlight.operators.learning import with_vector
+
+    rows = adapted(spark, sf, "scored").withColumn("features", F.array(F.col("score"), F.col("fold").cast("double")))
+    train = with_vector(rows.where("l_linenumber % 2 = 0")).withColumn("_y", F.col("y").cast("double"))
+    model = LogisticRegression(featuresCol="vector", labelCol="_y", maxIter=10).fit(train)
+    scored = K.score_with(rows.drop("score"), model)
+    gap = F.avg(F.when(F.col("y") == 1, F.col("score"))) - F.avg(F.when(F.col("y") == 0, F.col("score")))
+    return scored.groupBy("model_version").agg(
+        F.count("*").alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"), (gap > 0).alias("better_than_chance"))
