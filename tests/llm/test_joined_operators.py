@@ -176,3 +176,12 @@ def test_pipeline_on_odd_and_empty_tables(spark, folder):
             if name != "pack_sequences":
                 assert out.columns == docs.columns
         assert out.count() == (2 if given is docs else 0)
+
+
+def test_keep_one_loses_no_text_of_a_shared_id(spark):
+    """Rows of one id with different texts are different documents; equal rows are one."""
+    text = lambda seed: " ".join(random.Random(seed).choices("abcdefgh", k=60))
+    rows = [(1, text(1), "x"), (1, text(2), "y"), (1, text(1), "x"), (2, text(3), "z"), (None, text(4), "u"), (None, text(4), "u"), (3, None, "v"), (4, "", "w")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept if r["doc_id"] is not None} == {(i, t) for i, t, _ in rows if i is not None}
+    assert sum(r["doc_id"] == 1 for r in kept) == 2 and sum(r["doc_id"] is None for r in kept) == 2
