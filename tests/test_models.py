@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import pytest
@@ -75,6 +77,67 @@ def test_node_table_equals_model_and_adds_up(spark):
     assert loss(longer) < loss(nodes)
 
 
+def random_trees(rng, trees=6, width=5, depth=4):
+    """Node rows of unbalanced trees that ask for some features more than once; leaves without rows too."""
+    nodes = []
+    for tree in range(trees):
+        weight, waiting, made = rng.choice([0.5, 1.0]), [(0, depth, 200)], 1
+        while waiting:
+            node, left, cover = waiting.pop()
+            if not left or (left < depth and rng.random() < 0.25):
+                nodes.append((tree, node, -1, 0.0, -1, -1, rng.uniform(-1, 1), weight, float(cover)))
+                continue
+            part = rng.choice([0, cover // 3, cover // 2, cover])
+            nodes.append((tree, node, rng.randrange(width), rng.choice([0.25, 0.5, 0.75]), made, made + 1, 0.0, weight, float(cover)))
+            waiting += [(made, left - 1, part), (made + 1, left - 1, cover - part)]
+            made += 2
+    return nodes
+
+
+def subset_shapley(nodes, x, width):
+    """Contributions by the definition: every feature's gain over every subset of the others."""
+    by = {(n[0], n[1]): n[2:] for n in nodes}
+
+    def answer(tree, node, asked):
+        f, cut, left, right, value, weight, cover = by[tree, node]
+        if left < 0:
+            return weight * value
+        if f in asked:
+            return answer(tree, left if x[f] <= cut else right, asked)
+        part = by[tree, left][-1] / cover if cover else 0.5
+        return part * answer(tree, left, asked) + (1 - part) * answer(tree, right, asked)
+
+    def total(asked):
+        return sum(answer(t, 0, asked) for t in {t for t, _ in by})
+
+    out = [0.0] * width
+    for f in range(width):
+        rest = [g for g in range(width) if g != f]
+        for size in range(width):
+            weight = math.factorial(size) * math.factorial(width - size - 1) / math.factorial(width)
+            for some in itertools.combinations(rest, size):
+                out[f] += weight * (total({*some, f}) - total(set(some)))
+    return total(set()), out
+
+
+def test_contributions_are_shapley_values(spark):
+    rng = random.Random(4)
+    nodes = random_trees(rng) + [(6, 0, -1, 0.0, -1, -1, 0.3, 1.0, 9.0)]
+    assert any(left >= 0 and cover == 0 for *_, left, _, _, _, cover in nodes)
+    rows = [(i, [rng.choice([0.0, 0.25, 0.5, 0.6, 1.0, float("nan")]) for _ in range(5)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, features array<double>")
+    table = spark.createDataFrame(nodes, ensembles.NODE_SCHEMA)
+    got = ensembles.score_nodes(df, table, contributions=True, width=5)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("AQEShuffle", "")
+    xs = dict(rows)
+    for r in got.collect():
+        bias, want = subset_shapley(nodes, xs[r["id"]], 5)
+        assert r["bias"] == pytest.approx(bias, abs=1e-12)
+        assert r["contributions"] == pytest.approx(want, abs=1e-12)
+        assert r["bias"] + sum(r["contributions"]) == pytest.approx(r["margin"], abs=1e-12)
+    assert ensembles.score_nodes(df.where("id < 0"), table, contributions=True, width=5).count() == 0
+
+
 def test_cross_validation_and_skip(spark):
     df = matrix(spark, 150)
     folds, summary = learning.cross_validate(df, 2, maxIter=2, maxDepth=2, minInstancesPerNode=5)

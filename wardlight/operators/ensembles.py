@@ -1,9 +1,10 @@
 """Tree ensembles given as data: scoring and per-feature contributions.
 
 An ensemble is a node table (tree, node, feature, threshold, left, right,
-value, weight): rows go left when feature <= threshold; ``left`` is -1 at a
-leaf; ``value`` is the mean prediction at the node.  Its size is set by the
-model, not by the data, and is checked before it is shipped to tasks.
+value, weight, cover): rows go left when feature <= threshold; ``left`` is -1
+at a leaf; ``value`` is the mean prediction at the node; ``cover`` is the
+number of training rows that reached it.  Its size is set by the model, not by
+the data, and is checked before it is shipped to tasks.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions.scores import clamp01, score_to_confidence, score_to_label
+from wardlight.operators import shapley
 from wardlight.schemas import FEATURE_NAMES
 
 # Default bound on the rows of a model that are shipped to tasks; a parameter where used.
 MAX_NODES = 2_000_000
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int,"
-               " value double, weight double")
+               " value double, weight double, cover double")
 
 
 def sigmoid(margin: Column) -> Column:
@@ -77,7 +79,7 @@ def _arrays(nodes: DataFrame, max_nodes: int) -> dict[str, np.ndarray]:
     sizes = rows.groupby("tree").size()
     offset = dict(zip(sizes.index, np.concatenate([[0], np.cumsum(sizes.to_numpy())[:-1]])))
     shift = rows["tree"].map(offset).to_numpy()
-    out = {c: rows[c].to_numpy() for c in ("feature", "threshold", "value", "weight")}
+    out = {c: rows[c].to_numpy() for c in ("feature", "threshold", "value", "weight", "cover")}
     for side in ("left", "right"):
         child = rows[side].to_numpy()
         out[side] = np.where(child < 0, -1, child + shift)
@@ -85,30 +87,20 @@ def _arrays(nodes: DataFrame, max_nodes: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _walk(x: np.ndarray, model: dict[str, np.ndarray], width: int, split_by_feature: bool):
-    """Margins, and contributions by feature (change of node mean per split)."""
-    n = len(x)
-    rows = np.arange(n)
-    margin = np.zeros(n)
-    pushes = np.zeros((n, width)) if split_by_feature else None
-    base = float((model["value"][model["roots"]] * model["weight"][model["roots"]]).sum())
+def _margins(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+    rows = np.arange(len(x))
+    margin = np.zeros(len(x))
     for root in model["roots"]:
-        at = np.full(n, root)
-        weight = model["weight"][root]
+        at = np.full(len(x), root)
         while True:
             live = rows[model["left"][at] >= 0]
             if not len(live):
                 break
             here = at[live]
-            feature = model["feature"][here]
-            left = x[live, feature] <= model["threshold"][here]
-            nxt = np.where(left, model["left"][here], model["right"][here])
-            if split_by_feature:
-                step = weight * (model["value"][nxt] - model["value"][here])
-                pushes[live, feature] += step  # each live row once per level
-            at[live] = nxt
-        margin += weight * model["value"][at]
-    return margin, pushes, base
+            left = x[live, model["feature"][here]] <= model["threshold"][here]
+            at[live] = np.where(left, model["left"][here], model["right"][here])
+        margin += model["weight"][root] * model["value"][at]
+    return margin
 
 
 def score_nodes(df: DataFrame, nodes: DataFrame, features: str = "features",
@@ -116,18 +108,21 @@ def score_nodes(df: DataFrame, nodes: DataFrame, features: str = "features",
                 max_nodes: int = MAX_NODES) -> DataFrame:
     """Adds ``margin`` and ``score`` (and ``bias``, ``contributions``).
 
-    Map-only: Arrow batches against a broadcast node table.  With
-    contributions, bias + sum(contributions) equals the margin.
+    Map-only: Arrow batches against a broadcast node table.  Contributions are the exact
+    Shapley values over each tree's paths, ``bias`` is the mean margin over the training
+    rows, and bias + sum(contributions) equals the margin.
     """
-    shared = df.sparkSession.sparkContext.broadcast(_arrays(nodes, max_nodes))
+    model = _arrays(nodes, max_nodes)
+    mean, paths = shapley.leaf_paths(model) if contributions else (None, None)
+    shared = df.sparkSession.sparkContext.broadcast((model, paths))
     fields = "margin double, bias double, contributions array<double>"
 
     def walk(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model, paths = shared.value
         for batch in batches:
             x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, width))
-            margin, pushes, base = _walk(x, shared.value, width, contributions)
-            yield pd.DataFrame({"margin": margin, "bias": base,
-                                "contributions": list(pushes) if contributions else [None] * len(x)})
+            pushes = [None] * len(x) if paths is None else list(shapley.contributions(x, paths, width))
+            yield pd.DataFrame({"margin": _margins(x, model), "bias": mean, "contributions": pushes})
 
     scored = df.withColumn("_s", F.pandas_udf(walk, fields)(F.col(features)))
     scored = scored.withColumns({"margin": F.col("_s.margin"), "score": sigmoid(F.col("_s.margin"))})

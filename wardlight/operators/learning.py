@@ -286,7 +286,7 @@ def model_nodes(model, spark, first_tree: int = 0, tree_scale: float = 2.0) -> D
         F.when(inner, F.col("split.featureIndex")).otherwise(-1).cast("int").alias("feature"),
         F.when(inner, F.get("split.leftCategoriesOrThreshold", F.lit(0))).otherwise(0.0).alias("threshold"),
         F.col("leftChild").cast("int").alias("left"), F.col("rightChild").cast("int").alias("right"),
-        F.col("prediction").alias("value"), weight.alias("weight"))
+        F.col("prediction").alias("value"), weight.alias("weight"), F.col("rawCount").cast("double").alias("cover"))
 
 
 def cross_validate(df: DataFrame, folds: int = 5, label: str = "label", seed: int = 42,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,44 +49,64 @@ def _leaf_sql() -> str:
     return " + ".join(f"CASE WHEN {' AND '.join(b)} THEN {v} ELSE 0 END" for v, b in leaves.values())
 
 
-# A node table over the full 48-feature vector: (tree, node, feature, threshold, left, right, value, weight).
+# A node table over the full 48-feature vector: (tree, node, feature, threshold, left, right, value, weight, cover).
 _F = {n: i for i, n in enumerate(FEATURE_NAMES)}
 NODES = [
-    (0, 0, _F["tld_is_suspicious"], 0.5, 1, 2, 0.1, 1.0), (0, 1, -1, 0.0, -1, -1, -0.4, 1.0),
-    (0, 2, -1, 0.0, -1, -1, 1.2, 1.0),
-    (1, 0, _F["num_phishing_keywords"], 0.5, 1, 2, 0.0, 0.5), (1, 1, -1, 0.0, -1, -1, -1.0, 0.5),
-    (1, 2, _F["contains_brand_name"], 0.5, 3, 4, 1.0, 0.5), (1, 3, -1, 0.0, -1, -1, 0.5, 0.5),
-    (1, 4, -1, 0.0, -1, -1, 3.0, 0.5),
-    (2, 0, _F["domain_length"], 18.5, 1, 2, 0.2, 1.0), (2, 1, -1, 0.0, -1, -1, -0.2, 1.0),
-    (2, 2, _F["num_digits"], 3.5, 3, 4, 0.6, 1.0), (2, 3, -1, 0.0, -1, -1, 0.4, 1.0), (2, 4, -1, 0.0, -1, -1, 1.0, 1.0),
-    (3, 0, _F["typosquat_distance"], 2.5, 1, 2, 0.1, 1.0), (3, 1, -1, 0.0, -1, -1, 0.9, 1.0),
-    (3, 2, _F["has_mx_record"], 0.5, 3, 4, 0.0, 1.0), (3, 3, -1, 0.0, -1, -1, 0.15, 1.0), (3, 4, -1, 0.0, -1, -1, -0.3, 1.0),
-    (4, 0, _F["whois_country"], 9.5, 1, 2, 0.05, 1.0), (4, 1, -1, 0.0, -1, -1, -0.35, 1.0),
-    (4, 2, _F["tld"], 1.5, 3, 4, 0.3, 1.0), (4, 3, -1, 0.0, -1, -1, 0.2, 1.0), (4, 4, -1, 0.0, -1, -1, 0.7, 1.0),
+    (0, 0, _F["tld_is_suspicious"], 0.5, 1, 2, 0.1, 1.0, 1000), (0, 1, -1, 0.0, -1, -1, -0.4, 1.0, 690),
+    (0, 2, -1, 0.0, -1, -1, 1.2, 1.0, 310),
+    (1, 0, _F["num_phishing_keywords"], 0.5, 1, 2, 0.0, 0.5, 1000), (1, 1, -1, 0.0, -1, -1, -1.0, 0.5, 500),
+    (1, 2, _F["contains_brand_name"], 0.5, 3, 4, 1.0, 0.5, 500), (1, 3, -1, 0.0, -1, -1, 0.5, 0.5, 400),
+    (1, 4, -1, 0.0, -1, -1, 3.0, 0.5, 100),
+    (2, 0, _F["domain_length"], 18.5, 1, 2, 0.2, 1.0, 1000), (2, 1, -1, 0.0, -1, -1, -0.2, 1.0, 510),
+    (2, 2, _F["num_digits"], 3.5, 3, 4, 0.6, 1.0, 490), (2, 3, -1, 0.0, -1, -1, 0.4, 1.0, 330),
+    (2, 4, -1, 0.0, -1, -1, 1.0, 1.0, 160),
+    (3, 0, _F["typosquat_distance"], 2.5, 1, 2, 0.1, 1.0, 1000), (3, 1, -1, 0.0, -1, -1, 0.9, 1.0, 110),
+    (3, 2, _F["has_mx_record"], 0.5, 3, 4, 0.0, 1.0, 890), (3, 3, -1, 0.0, -1, -1, 0.15, 1.0, 600),
+    (3, 4, -1, 0.0, -1, -1, -0.3, 1.0, 290),
+    (4, 0, _F["whois_country"], 9.5, 1, 2, 0.05, 1.0, 1000), (4, 1, -1, 0.0, -1, -1, -0.35, 1.0, 380),
+    (4, 2, _F["tld"], 1.5, 3, 4, 0.3, 1.0, 620), (4, 3, -1, 0.0, -1, -1, 0.2, 1.0, 500),
+    (4, 4, _F["domain_length"], 24.5, 5, 6, 0.7, 1.0, 120), (4, 5, -1, 0.0, -1, -1, 0.6, 1.0, 70),
+    (4, 6, -1, 0.0, -1, -1, 0.85, 1.0, 50),
 ]
 
 
 def node_table(spark) -> DataFrame:
-    return spark.createDataFrame(NODES, N.NODE_SCHEMA)
+    return spark.createDataFrame([(*n[:-1], float(n[-1])) for n in NODES], N.NODE_SCHEMA)
+
+
+_NODE = {(t, n): rest for t, n, *rest in NODES}
+
+
+def _mean_sql(t: int, n: int, asked: frozenset) -> str:
+    """The tree's answer below a node when only the features in ``asked`` are looked at."""
+    f, cut, left, right, value, weight, cover = _NODE[t, n]
+    if left < 0:
+        return f"{value * weight}e0"
+    a, b = _mean_sql(t, left, asked), _mean_sql(t, right, asked)
+    if f in asked:
+        return f"CASE WHEN {FEATURE_NAMES[f]} <= {cut} THEN {a} ELSE {b} END"
+    return f"({_NODE[t, left][-1]}e0 / {cover}e0 * ({a}) + {_NODE[t, right][-1]}e0 / {cover}e0 * ({b}))"
 
 
-def _tree_sql(field: str = "value", only: str | None = None) -> str:
-    """Sum over trees of the reached leaf (or of the pushes of one feature)."""
-    by = {(t, n): (f, th, lo, hi, v, w) for t, n, f, th, lo, hi, v, w in NODES}
+def _trees() -> dict[int, set[int]]:
+    return {t: {f for s, _, f, *_ in NODES if s == t and f >= 0} for t, *_ in NODES}
 
-    def walk(t, n):
-        f, th, lo, hi, v, w = by[t, n]
-        if lo < 0:
-            return "0" if only else f"{v * w}"
-        name = FEATURE_NAMES[f]
 
-        def side(child):
-            rest = walk(t, child)
-            return f"({rest} + {(by[t, child][4] - v) * w})" if only == name else rest
+def _tree_sql() -> str:
+    """Sum over trees of the reached leaf."""
+    return " + ".join(_mean_sql(t, 0, frozenset(used)) for t, used in _trees().items())
 
-        return f"CASE WHEN {name} <= {th} THEN {side(lo)} ELSE {side(hi)} END"
 
-    return " + ".join(walk(t, 0) for t in sorted({t for t, *_ in NODES}))
+def _push_sql(name: str) -> str:
+    """Shapley value of a feature, by its gain over every subset of its tree's other features."""
+    f, terms = FEATURE_NAMES.index(name), []
+    for t, used in _trees().items():
+        for size in range(len(used)) if f in used else ():
+            weight = math.factorial(size) * math.factorial(len(used) - size - 1) / math.factorial(len(used))
+            for others in itertools.combinations(sorted(used - {f}), size):
+                asked = frozenset(others)
+                terms.append(f"{weight}e0 * (({_mean_sql(t, 0, asked | {f})}) - ({_mean_sql(t, 0, asked)}))")
+    return " + ".join(terms)
 
 
 @query("ml10_score_leaf_boxes", with_inputs("raw_hosts", f"""SELECT row_id, round(m, 9)::DOUBLE AS margin, round(1 / (1 + exp(-m)), 9) AS score
@@ -135,7 +158,7 @@ _USED = sorted({FEATURE_NAMES[f] for _, _, f, *_ in NODES if f >= 0})
 
 
 @query("ml11_contributions", with_inputs(_CODED_INPUTS, " UNION ALL ".join(
-    f"SELECT row_id, '{n}' AS feature, round({_tree_sql(only=n)}, 9)::DOUBLE AS contribution FROM coded" for n in _USED), **_CODED))
+    f"SELECT row_id, '{n}' AS feature, round({_push_sql(n)}, 9)::DOUBLE AS contribution FROM coded" for n in _USED), **_CODED))
 def contributions(spark, sf):
     scored = N.score_nodes(numeric(spark, sf, assembled(spark, sf)), node_table(spark), contributions=True)
     return (N.contributions_long(scored, ["row_id"]).where(F.col("feature").isin(*_USED))
@@ -218,7 +241,7 @@ def alternative_texts(spark, sf):
 
 
 def _wide_sql(ctx: bool) -> str:
-    arrows = {n: _tree_sql(only=n) for n in _USED}
+    arrows = {n: _push_sql(n) for n in _USED}
     longs = " UNION ALL ".join(
         f"SELECT row_id AS row_key, '{n}' AS feature, {i} AS feature_no, {n}::DOUBLE AS value, {arrows[n]} AS contribution, network_features_available AS avail FROM coded"
         for i, n in enumerate(FEATURE_NAMES) if n in _USED)
