@@ -18,13 +18,15 @@ Features = Callable[[DataFrame], DataFrame]
 def assemble(hosts: DataFrame, dns_obs: DataFrame | None = None, whois_obs: DataFrame | None = None,
              as_of: Column | None = None, include_network: bool = True, col: str = "domain",
              popular=None, structural_fn: Features | None = None,
-             network_fn: Features | None = None, tie: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+             network_fn: Features | None = None, tie: str | None = None, extra: Sequence[str] = (),
+             asked_only: bool = False) -> DataFrame:
     """Input columns plus the 48 features, one row per input row.
 
     ``structural_fn`` / ``network_fn`` replace the built-in extractors; each
     maps a DataFrame to one with its feature columns added.  Either observation
     table may be missing; with one, ``as_of`` is needed.  ``extra`` names columns of the
-    extractors to keep, such as the context that reason texts quote.
+    extractors to keep, such as the context that reason texts quote.  ``asked_only`` suits
+    few hosts against many observations (see ``network_features``).
     """
     if (dns_obs is not None or whois_obs is not None) and include_network and as_of is None and network_fn is None:
         raise ValueError("observations need as_of")
@@ -35,7 +37,7 @@ def assemble(hosts: DataFrame, dns_obs: DataFrame | None = None, whois_obs: Data
         prefix = F.expr("substring(host, 1, length(host) - length(tld) - 1)")
         sld = F.when(F.col("tld") == "", F.col("host")).otherwise(F.substring_index(prefix, ".", -1))
         keyed = wide.withColumn("_reg", registrable(F.col("host"), sld, F.col("tld")))
-        wide = network_features(keyed, dns_obs, whois_obs, as_of, "host", "_reg", tie).drop("_reg")
+        wide = network_features(keyed, dns_obs, whois_obs, as_of, "host", "_reg", tie, asked_only).drop("_reg")
     else:
         wide = apply_network_defaults(wide)
     return wide.select(*hosts.columns, *FEATURE_NAMES, *extra)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlight.functions.scores import NETWORK_TTL_SECONDS, whole_days
 from wardlight.functions.text import contains_any, flag, strip
 from wardlight.lexicon import COMMON_REGISTRARS, PRIVACY_KEYWORDS
+from wardlight.operators.bounds import broadcast_if_small
 from wardlight.schemas import NETWORK_DEFAULTS, UNKNOWN
 
 # Thresholds of the derived flags.
@@ -95,13 +96,19 @@ def with_availability(df: DataFrame) -> DataFrame:
 
 def network_features(hosts: DataFrame, dns_obs: DataFrame | None, whois_obs: DataFrame | None, as_of: Column,
                      host_col: str = "host", registrable_col: str = "registrable",
-                     tie: str | None = None) -> DataFrame:
+                     tie: str | None = None, asked_only: bool = False) -> DataFrame:
     """Left-joins the feature sets that are given to ``hosts`` and fills the defaults.
 
     Right sides hold one row per key, so a host that many rows share
-    fans out on the left only, where AQE can split it.
+    fans out on the left only, where AQE can split it.  With ``asked_only`` observations of
+    other hosts go before they are aggregated: right for a request of some hosts, a wasted
+    join where most of the observed ones are asked for.
     """
     joined = hosts
+    if asked_only and dns_obs is not None:
+        dns_obs = _asked(dns_obs, "host", hosts, host_col)
+    if asked_only and whois_obs is not None:
+        whois_obs = _asked(whois_obs, "registrable", hosts, registrable_col)
     if dns_obs is not None:
         dns = dns_features(dns_obs, as_of).withColumnRenamed("host", "_dns_host")
         joined = joined.join(dns, F.col(host_col) == F.col("_dns_host"), "left").drop("_dns_host")
@@ -111,6 +118,10 @@ def network_features(hosts: DataFrame, dns_obs: DataFrame | None, whois_obs: Dat
     return with_availability(apply_network_defaults(joined))
 
 
+def _asked(obs: DataFrame, key: str, hosts: DataFrame, col: str) -> DataFrame:
+    return obs.join(broadcast_if_small(hosts.select(F.col(col).alias(key)).distinct()), key, "left_semi")
+
+
 def availability_report(df: DataFrame, minimum: float = 0.5) -> DataFrame:
     """Share of rows with network data and whether it is too low to trust."""
     rate = F.avg(F.col("network_features_available").cast("double"))

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.operators import bulk as B
 from wardlight.operators import encode as E
 from wardlight.operators import ensembles as N
 from wardlight.operators import explain as X
 from wardlight.operators import hooks as K
 from wardlight.operators.assemble import assemble, features_array
 from wardlight.operators.lexical import structural_features
-from wardlight.operators.lookups import known_lookup, known_verdict, route_verdicts
+from wardlight.operators.lookups import known_lookup, known_verdict
 from wardlight.plans import ducktext as D
-from wardlight.plans.auditing import _KNOWN, known
+from wardlight.plans.auditing import _KNOWN, _TTL, NOW, at, known
 from wardlight.plans.featuring import _ASSET_CTES, _INPUTS, _NET, _PAIRS, as_of, assembled, token_rows, whois_obs
 from wardlight.plans.parsing import HOSTS, PARTED
 from wardlight.plans.registry import query, with_inputs
 from wardlight.reasons import RULES
 from wardlight.schemas import FEATURE_NAMES, NETWORK_FEATURES
+from wardlight.session import written_once
 from wardlight.sources.adapters import adapted
+from wardlight.sources.writers import load_vocab, save_vocab
 
 INF = 1e18
 # A small demonstration ensemble: (tree, leaf, feature, low, high, value).
@@ -125,9 +129,16 @@ def vectors(spark, sf) -> DataFrame:
     return numeric(spark, sf, wide)
 
 
+def saved_vocab(spark, sf) -> DataFrame:
+    """The vocabulary that belongs to the model: fitted on all raw hosts and saved once an application, then only read."""
+    name = "vocab-" + hashlib.sha256(sf.encode()).hexdigest()[:16]
+    path = written_once(spark, name, lambda path: save_vocab(E.fit_vocab(token_rows(spark, sf)), path))
+    return load_vocab(spark, path)
+
+
 def numeric(spark, sf, wide: DataFrame) -> DataFrame:
-    """The 48 features as an array, text features by the codes of the fitted vocabulary."""
-    coded = E.apply_vocab(wide.withColumn("tld_text", F.col("tld")), E.fit_vocab(token_rows(spark, sf)))
+    """The 48 features as an array, text features by the codes of the saved vocabulary."""
+    coded = E.apply_vocab(wide.withColumn("tld_text", F.col("tld")), saved_vocab(spark, sf))
     return features_array(coded).drop("tld", "whois_country").withColumnRenamed("tld_text", "tld")
 
 
@@ -273,9 +284,9 @@ def flagship(spark, sf, with_reasons: bool = True) -> DataFrame:
     columns = ["row_id", "domain", "score", "label", "confidence", "reasons"]
     hosts = adapted(spark, sf, "asset_hosts").drop("label")
     curated = known(spark, sf)
-    listed, fresh = route_verdicts(hosts, curated)
-    answered = known_verdict(known_lookup(listed, curated)).select(*columns)
-    wide = assemble(fresh, adapted(spark, sf, "dns_obs"), whois_obs(spark, sf), as_of(), tie="obs_id")
+    routed = known_lookup(hosts, curated)
+    answered = known_verdict(routed.where("known IS NOT NULL")).select(*columns)
+    wide = assemble(routed.where("known IS NULL").drop("known"), adapted(spark, sf, "dns_obs"), whois_obs(spark, sf), as_of(), tie="obs_id")
     scored = N.verdict_columns(N.score_nodes(numeric(spark, sf, wide), node_table(spark), contributions=with_reasons))
     if not with_reasons:
         columns.remove("reasons")
@@ -301,6 +312,52 @@ def analyze_hosts(spark, sf):
     return flagship(spark, sf, with_reasons=False)
 
 
+_BULK = dict(
+    live=f"""SELECT domain AS ld, label AS cl FROM (SELECT * FROM cache_sets WHERE ns = 'result' AND cached_at <= TIMESTAMP '{NOW}'
+      QUALIFY row_number() OVER (PARTITION BY domain ORDER BY cached_at DESC, seq DESC) = 1)
+      WHERE cached_at + {_TTL} > TIMESTAMP '{NOW}'""",
+    modelled=f"SELECT row_id AS model_row, 1 / (1 + exp(-({_tree_sql()}))) AS s FROM coded",
+    routed="""SELECT *, CASE WHEN cl IS NOT NULL THEN 'cache' WHEN e IS NOT NULL THEN 'known' ELSE 'model' END AS source
+      FROM req LEFT JOIN active ON mk = k LEFT JOIN live ON domain = ld LEFT JOIN modelled ON row_id = model_row""",
+    answers="""SELECT row_id AS pos, domain, source,
+      (CASE source WHEN 'known' THEN CASE WHEN e.verdict = 'safe' THEN 0 ELSE 1 END WHEN 'model' THEN round(s, 4) END)::DOUBLE AS score,
+      CASE source WHEN 'cache' THEN cl WHEN 'known' THEN CASE WHEN e.verdict = 'safe' THEN 'safe' ELSE 'malicious' END
+        ELSE CASE WHEN s >= 0.8 THEN 'malicious' WHEN s >= 0.5 THEN 'suspicious' ELSE 'safe' END END AS label,
+      CASE source WHEN 'known' THEN 'high' WHEN 'model' THEN
+        CASE WHEN greatest(s, 1 - s) >= 0.8 THEN 'high' WHEN greatest(s, 1 - s) >= 0.65 THEN 'medium' ELSE 'low' END END AS confidence
+      FROM routed""")
+_BULK_INPUTS = "asset_hosts known dns_obs whois_obs raw_hosts cache_sets"
+
+
+def bulk_answers(spark, sf) -> DataFrame:
+    """All hosts as one bulk request."""
+    def score(hosts: DataFrame) -> DataFrame:
+        wide = assemble(hosts, adapted(spark, sf, "dns_obs"), whois_obs(spark, sf), as_of(), tie="obs_id", asked_only=True)
+        return N.verdict_columns(N.score_nodes(numeric(spark, sf, wide), node_table(spark)))
+
+    requests = adapted(spark, sf, "asset_hosts").select(F.col("row_id").alias("pos"), "domain")
+    results = adapted(spark, sf, "cache_sets").where("ns = 'result'")
+    return B.bulk_analyze(requests, results, known(spark, sf), at(NOW), score)
+
+
+@query("bulk_analyze", with_inputs(_BULK_INPUTS, "SELECT * FROM answers", **_KNOWN, **_CODED, **_BULK))
+def bulk_analyze(spark, sf):
+    return bulk_answers(spark, sf).select("pos", "domain", "source", *B.ANSWER)
+
+
+@query("bulk_rows_to_log", with_inputs(_BULK_INPUTS, f"""SELECT lower(domain) AS domain, source, score, label, confidence,
+  TIMESTAMP '{NOW}' AS created_at FROM answers WHERE source <> 'cache' AND score >= 0.5""", **_KNOWN, **_CODED, **_BULK))
+def bulk_rows_to_log(spark, sf):
+    return B.rows_to_log(bulk_answers(spark, sf), at(NOW))
+
+
+@query("bulk_rows_to_cache", with_inputs(_BULK_INPUTS, f"""SELECT domain, label, score, TIMESTAMP '{NOW}' AS cached_at
+  FROM answers WHERE source <> 'cache'""", **_KNOWN, **_CODED, **_BULK))
+def bulk_rows_to_cache(spark, sf):
+    rows = B.rows_to_cache(bulk_answers(spark, sf), at(NOW))
+    return rows.select("domain", "label", F.get_json_object("payload", "$.score").cast("double").alias("score"), "cached_at")
+
+
 @query("sc6_analysis_ids", with_inputs("analyses", "SELECT event_id, CASE WHEN score >= 0.5 THEN sha256(lower(domain) || '|' || epoch_us(created_at)::VARCHAR) END AS analysis_id FROM analyses"))
 def analysis_ids(spark, sf):
     rows = K.with_analysis_id(adapted(spark, sf, "analyses"))

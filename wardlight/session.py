@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +51,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written_once(spark: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    """The application's path ``name`` in the shared folder, filled by ``write`` on first use.
+
+    What a lost driver left half-written has no success mark and is written again.
+    """
+    jvm = spark.sparkContext._jvm
+    path = f"{_run_dir(spark)}/{name}"
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        write(path)
+    return path
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to scratch paths; call it when no result is read any more."""
     jvm = spark.sparkContext._jvm
