@@ -146,6 +146,39 @@ def test_cross_validation_and_skip(spark):
     assert learning.usable_folds(3, 5) == 3 and learning.usable_folds(1, 5) == 0
 
 
+def test_patience():
+    assert learning.best_round([0.7, 0.6, 0.5, 0.55, 0.54]) == 3
+    assert learning.best_round([0.7, 0.5, 0.6, 0.6, 0.4], patience=2) == 2
+    assert learning.best_round([0.7, 0.5, 0.6, 0.6, 0.4], patience=3) == 5
+    assert learning.best_round([0.5, 0.5]) == 1
+
+
+def test_boosting_is_cut_at_the_best_round(spark):
+    df = matrix(spark, 300).withColumn("part", F.crc32("domain") % 3)
+    train, held = df.where("part > 0"), df.where("part = 0")
+    few = dict(maxIter=6, maxDepth=3, minInstancesPerNode=5)
+    nodes, rounds, losses = learning.train_with_patience(train, held, patience=2, **few)
+    assert len(losses) == 6 and rounds == learning.best_round(losses, 2)
+    assert nodes.select("tree").distinct().count() == rounds
+
+    def loss(table, rows):
+        p, y = F.col("score"), F.col("label")
+        return ensembles.score_nodes(rows, table).agg(F.avg(-F.log(F.when(y == 1, p).otherwise(1 - p)))).first()[0]
+
+    assert 2 * loss(nodes, held) == pytest.approx(losses[rounds - 1], abs=1e-9)
+    new = learning.model_nodes(learning.train_gbt(train, maxIter=3, maxDepth=2, minInstancesPerNode=5), spark)
+    staged = learning.staged_losses(ensembles.score_nodes(held, nodes), new)
+    for i in range(3):
+        both = nodes.unionByName(new.where(F.col("tree") <= i).withColumn("tree", F.col("tree") + 100))
+        assert staged[i] == pytest.approx(loss(both, held), abs=1e-9)
+    longer = learning.finetune(train, nodes, rounds=4, learning_rate=0.2, depth=3, held=held, patience=1)
+    assert rounds < longer.select("tree").distinct().count() <= rounds + 4
+    table, n = learning.train_validated(train, 2, patience=2, **few)
+    assert 1 <= n <= 6 and table.select("tree").distinct().count() == n
+    with pytest.raises(ValueError):
+        learning.finetune(train, nodes.withColumn("feature", F.lit(48)), rounds=1)
+
+
 def test_exact_split_counts(spark):
     df = matrix(spark)
     parts = learning.stratified_split(df, exact=True)

@@ -87,9 +87,9 @@ def _arrays(nodes: DataFrame, max_nodes: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _margins(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+def _tree_values(x: np.ndarray, model: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    """What each tree adds to the rows' margins, tree by tree."""
     rows = np.arange(len(x))
-    margin = np.zeros(len(x))
     for root in model["roots"]:
         at = np.full(len(x), root)
         while True:
@@ -99,8 +99,7 @@ def _margins(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
             here = at[live]
             left = x[live, model["feature"][here]] <= model["threshold"][here]
             at[live] = np.where(left, model["left"][here], model["right"][here])
-        margin += model["weight"][root] * model["value"][at]
-    return margin
+        yield model["weight"][root] * model["value"][at]
 
 
 def score_nodes(df: DataFrame, nodes: DataFrame, features: str = "features",
@@ -122,7 +121,7 @@ def score_nodes(df: DataFrame, nodes: DataFrame, features: str = "features",
         for batch in batches:
             x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, width))
             pushes = [None] * len(x) if paths is None else list(shapley.contributions(x, paths, width))
-            yield pd.DataFrame({"margin": _margins(x, model), "bias": mean, "contributions": pushes})
+            yield pd.DataFrame({"margin": sum(_tree_values(x, model), np.zeros(len(x))), "bias": mean, "contributions": pushes})
 
     scored = df.withColumn("_s", F.pandas_udf(walk, fields)(F.col(features)))
     scored = scored.withColumns({"margin": F.col("_s.margin"), "score": sigmoid(F.col("_s.margin"))})
@@ -131,6 +130,20 @@ def score_nodes(df: DataFrame, nodes: DataFrame, features: str = "features",
     return scored.drop("_s")
 
 
+def staged_margins(df: DataFrame, nodes: DataFrame, features: str = "features", start: str = "margin",
+                   max_nodes: int = MAX_NODES) -> DataFrame:
+    """Adds ``staged``: the margin after each tree on top of the column ``start``.  Map-only."""
+    shared = df.sparkSession.sparkContext.broadcast(_arrays(nodes, max_nodes))
+
+    def walk(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for vectors, margins in batches:
+            x = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 1))
+            steps = np.cumsum([margins.to_numpy(), *_tree_values(x, shared.value)], axis=0)[1:]
+            yield pd.Series(list(steps.T))
+
+    return df.withColumn("staged", F.pandas_udf(walk, "array<double>")(F.col(features), F.col(start)))
+
+
 def verdict_columns(df: DataFrame) -> DataFrame:
     """Label and confidence from the unrounded score, then the 4-digit score."""
     p = clamp01(F.col("score"))

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardlight.functions.scores import hash_fraction
-from wardlight.operators.ensembles import score_nodes, sigmoid
+from wardlight.operators.ensembles import score_nodes, sigmoid, staged_margins
 from wardlight.operators.metrics import cv_summary, evaluate
 from wardlight.schemas import CATEGORICAL_FEATURES, CONTINUOUS_FEATURES, FEATURE_NAMES
 from wardlight.session import checkpoint, scratch_path
 
 TEST_SHARE, VALIDATION_SHARE = 0.2, 0.1
 IMBALANCE, MINORITY_RATIO, NEIGHBOURS = 0.10, 0.5, 5
+#: Rounds without a lower validation loss before boosting is cut.
+PATIENCE = 50
 TABLES, REACH, ROWS_PER_RANGE = 8, 32, 100_000
 #: Places of an order that one task compares.
 BLOCK_ROWS = 20_000
@@ -253,16 +255,10 @@ def with_vector(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn("vector", array_to_vector(F.col(features)))
 
 
-def train_gbt(df: DataFrame, label: str = "label", validation: str | None = None,
-              weight: str | None = None, seed: int = 42, **params):
-    """Gradient-boosted trees on the ``features`` array.
-
-    ``validation`` names a boolean column whose rows stop the boosting early.
-    """
+def train_gbt(df: DataFrame, label: str = "label", weight: str | None = None, seed: int = 42, **params):
+    """Gradient-boosted trees on the ``features`` array, all rounds (see ``train_with_patience``)."""
     options = {**RECIPE, **params}
     gbt = GBTClassifier(featuresCol="vector", labelCol="_y", seed=seed, **options)
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
     if weight:
         gbt = gbt.setWeightCol(weight)
     return gbt.fit(with_vector(df).withColumn("_y", F.col(label).cast("double")))
@@ -289,44 +285,101 @@ def model_nodes(model, spark, first_tree: int = 0, tree_scale: float = 2.0) -> D
         F.col("prediction").alias("value"), weight.alias("weight"), F.col("rawCount").cast("double").alias("cover"))
 
 
-def cross_validate(df: DataFrame, folds: int = 5, label: str = "label", seed: int = 42,
-                   key: str = "domain", **params) -> tuple[DataFrame, DataFrame] | None:
-    """(metrics per fold, their summary); None when a class is too small."""
+def best_round(losses: list[float], patience: int = PATIENCE) -> int:
+    """Number of rounds up to the lowest validation loss, looking on until ``patience`` rounds bring none lower."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def train_with_patience(train: DataFrame, held: DataFrame, label: str = "label", patience: int = PATIENCE,
+                        weight: str | None = None, seed: int = 42, **params) -> tuple[DataFrame, int, list[float]]:
+    """(node table cut at the best round, rounds kept, loss of each round on ``held``).
+
+    ``held`` takes no part in the fit; its log loss after every round comes from one pass.
+    Later rounds don't change earlier ones, so cutting is the same as stopping there.
+    """
+    model = train_gbt(train, label, weight=weight, seed=seed, **params)
+    if weight:
+        held = held.withColumn(weight, F.lit(1.0))
+    losses = model.evaluateEachIteration(with_vector(held).withColumn("_y", F.col(label).cast("double")))
+    rounds = best_round(losses, patience)
+    return model_nodes(model, train.sparkSession).where(F.col("tree") < rounds), rounds, losses
+
+
+def cross_validate(df: DataFrame, folds: int = 5, label: str = "label", seed: int = 42, key: str = "domain",
+                   patience: int = PATIENCE, **params) -> tuple[DataFrame, DataFrame] | None:
+    """(metrics and best round per fold, their summary); None when a class is too small.
+
+    A fold's rows choose the best round of the model that is fitted without them; the
+    summary's ``best_round`` is the rounded mean, for the final fit.
+    """
     spark = df.sparkSession
     sizes = df.groupBy(label).count().collect()
     smallest = min(r["count"] for r in sizes) if len(sizes) > 1 else 0
     k = usable_folds(smallest, folds)
     if not k:
         return None
-    rows = kfold(df, k, str(seed), key).persist()
-    scored = None
+    rows = checkpoint(kfold(df, k, str(seed), key))
+    scored, kept = None, []
     for i in range(k):
-        model = train_gbt(rows.where(F.col("fold") != i), label, seed=seed, **params)
-        part = score_nodes(rows.where(F.col("fold") == i), model_nodes(model, spark))
-        part = part.select("fold", F.col(label).cast("int").alias("y"), "score")
+        held = rows.where(F.col("fold") == i)
+        nodes, rounds, _ = train_with_patience(rows.where(F.col("fold") != i), held, label, patience, seed=seed, **params)
+        kept.append((i, rounds))
+        part = score_nodes(held, nodes).select("fold", F.col(label).cast("int").alias("y"), "score")
         scored = part if scored is None else scored.unionByName(part)
-    metrics = checkpoint(evaluate(scored, by=["fold"]))
-    rows.unpersist()
-    return metrics, cv_summary(metrics)
+    rounds = spark.createDataFrame(kept, "fold int, best_round int")
+    metrics = checkpoint(evaluate(scored, by=["fold"]).join(rounds, "fold"))
+    mean = round(sum(n for _, n in kept) / k)
+    return metrics, cv_summary(metrics).withColumn("best_round", F.lit(mean))
+
+
+def train_validated(train: DataFrame, folds: int = 5, label: str = "label", seed: int = 42, key: str = "domain",
+                    patience: int = PATIENCE, **params) -> tuple[DataFrame, int]:
+    """(node table, rounds): all of ``train`` fitted for the folds' mean best round.
+
+    Where a class is too small for folds, the recipe's number of rounds stands.
+    """
+    done = cross_validate(train, folds, label, seed, key, patience, **params)
+    rounds = done[1].first()["best_round"] if done else {**RECIPE, **params}["maxIter"]
+    return model_nodes(train_gbt(train, label, seed=seed, **{**params, "maxIter": max(1, rounds)}), train.sparkSession), rounds
 
 
 def finetune(df: DataFrame, nodes: DataFrame, rounds: int = 500, learning_rate: float = 0.02, depth: int = 5,
-             label: str = "label", seed: int = 42, validation: str | None = None, **params) -> DataFrame:
+             label: str = "label", seed: int = 42, held: DataFrame | None = None, patience: int = PATIENCE,
+             **params) -> DataFrame:
     """Continues boosting from an existing node table; returns the longer one.
 
     One boosted regression of the log loss's gradient at the earlier model's margin: the
     new trees fit what the old ones leave, and their sum is added to the margin.  Four times
-    the gradient is at most a Newton step, so the first tree counts whole.  ``validation``
-    names a boolean column whose rows stop the boosting early.
+    the gradient is at most a Newton step, so the first tree counts whole.  With ``held``
+    rows, which take no part in the fit, the new trees are cut at the round after which
+    the log loss of both models together is lowest on them.
     """
-    first = nodes.agg(F.max("tree")).first()[0] + 1
+    known = nodes.agg(F.max("tree").alias("tree"), F.max("feature").alias("feature")).first()
+    if known["feature"] >= len(FEATURE_NAMES):
+        raise ValueError(f"the earlier model asks for feature {known['feature']}; there are {len(FEATURE_NAMES)}")
+    first = known["tree"] + 1
     rows = score_nodes(df, nodes).withColumn("residual", 4.0 * (F.col(label).cast("double") - sigmoid(F.col("margin"))))
-    rows = checkpoint(with_vector(rows).select("vector", "residual", *([validation] if validation else [])))
+    rows = checkpoint(with_vector(rows).select("vector", "residual"))
     gbt = GBTRegressor(featuresCol="vector", labelCol="residual", maxIter=rounds, stepSize=learning_rate, maxDepth=depth,
                        minInstancesPerNode=RECIPE["minInstancesPerNode"], seed=seed, **params)
-    if validation:
-        gbt = gbt.setValidationIndicatorCol(validation)
-    return nodes.unionByName(model_nodes(gbt.fit(rows), df.sparkSession, first_tree=first, tree_scale=1.0))
+    new = model_nodes(gbt.fit(rows), df.sparkSession, first_tree=first, tree_scale=1.0)
+    if held is not None:
+        kept = best_round(staged_losses(score_nodes(held, nodes), new, label), patience)
+        new = new.where(F.col("tree") < first + kept)
+    return nodes.unionByName(new)
+
+
+def staged_losses(scored: DataFrame, nodes: DataFrame, label: str = "label") -> list[float]:
+    """Mean log loss after each tree of ``nodes`` on top of the column ``margin``; one pass, one number a tree."""
+    staged = staged_margins(scored, nodes).select(F.posexplode("staged").alias("round", "m"), F.col(label).cast("double").alias("y"))
+    loss = F.log1p(F.exp(-F.abs("m"))) + F.greatest("m", F.lit(0.0)) - F.col("y") * F.col("m")
+    return [r["loss"] for r in staged.groupBy("round").agg(F.avg(loss).alias("loss")).orderBy("round").collect()]
 
 
 def model_card(metrics: DataFrame, version: str | Column, training_samples: int | Column,
