@@ -4,6 +4,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,77 @@ def in_files(spark, rows, schema, size):
     return path
 
 
+class StateInMemory:
+    """What a processor asks of its handle, with the number of calls; map, value and timers of one key."""
+
+    def __init__(self):
+        self.map, self.value, self.timers, self.calls = {}, None, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return type("Value", (), {"get": self.getOne, "update": self.setOne, "clear": lambda _: self.setOne(None), "exists": lambda _: self.getOne(None) is not None})()
+
+    def counted(self, result=None):
+        self.calls += 1
+        return result
+
+    def getOne(self, _=None):
+        return self.counted(self.value)
+
+    def setOne(self, *value):
+        self.value = self.counted(value[-1])
+
+    def updateValue(self, key, value):
+        self.map[key] = self.counted(value)
+
+    def getValue(self, key):
+        return self.counted(self.map[key])
+
+    def containsKey(self, key):
+        return self.counted(key in self.map)
+
+    def removeKey(self, key):
+        self.counted(self.map.pop(key))
+
+    def keys(self):
+        return iter(self.counted(list(self.map)))
+
+    def registerTimer(self, at):
+        self.counted(self.timers.add(at))
+
+
+def fire(processor, handle, watermark_ms):
+    """All timers up to the watermark, as Spark fires them."""
+    values = type("Values", (), {"getCurrentWatermarkInMs": lambda _: watermark_ms})()
+    out = []
+    while handle.timers and min(handle.timers) <= watermark_ms:
+        at = min(handle.timers)
+        info = type("Info", (), {"getExpiryTimeInMs": lambda _: at})()
+        out += [tuple(r) for pdf in processor.handleExpiredTimer(("k",), values, info) for r in pdf.itertuples(index=False)]
+        handle.timers.discard(at)
+    return out
+
+
+def test_state_calls_do_not_grow_with_slots():
+    # 300 visits and 300 observations of one key, each in a slot of its own, come at once and are due in two steps
+    rng = random.Random(3)
+    day, slot = 24 * 3600 * 10**6, 600 * 10**6
+    places = rng.sample(range(4000), 600)
+    rows = [(p * slot + 5, int(i % 2), i if i % 2 else 0) for i, p in enumerate(places)]
+    processor, handle = flows._Fresh(day), StateInMemory()
+    processor.init(handle)
+    list(processor.handleInputRows(("k",), iter([pd.DataFrame(rows[:400], columns=["t", "asks", "event_id"]), pd.DataFrame(rows[400:], columns=["t", "asks", "event_id"])]), None))
+    early = fire(processor, handle, 2000 * 600_000)
+    got = early + fire(processor, handle, 10**13)
+    seen = [t for t, asks, _ in rows if not asks]
+    want = {i: any(0 <= t - s < day for s in seen) for t, asks, i in rows if asks}
+    assert {i: f for _, i, f in got} == want and len(got) == len(want)
+    assert len(early) == sum(asks for t, asks, _ in rows if t < 2000 * slot)
+    assert not handle.map and handle.value is None and handle.calls < 60
+
+
 @pytest.mark.parametrize("max_files", [1, 100])
 def test_streamed_lookups_equal_loop(spark, visit_files, max_files):
     path, rows = visit_files

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from datetime import datetime
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
@@ -136,64 +141,126 @@ class InOrder(StatefulProcessor):
 
     ``t`` (microseconds) is the rows' first field and they are taken in the order of all
     their fields, so what comes out follows from the rows alone, not from how files fall
-    into batches.  They wait in one state entry a slot of ten minutes, under a timer of its
-    own: a slot is read when it is due and no other one with it.  Subclasses give the
-    fields, the state that a key keeps between rows, and ``step``.
+    into batches.  They wait in sorted runs of at most ``RUN_ROWS``, one state entry each,
+    under one timer a key: its earliest row's slot of ten minutes.  A firing timer takes all
+    slots that the watermark has passed and reads only the runs that begin before it, so the
+    calls to the state grow with keys and runs, not with slots.  Subclasses give the
+    fields, the state that a key keeps between rows, ``step`` and ``until``.
     """
 
     SLOT_MS = 600_000
+    #: Rows of one state entry, and rows that are sorted at once when they come in.
+    RUN_ROWS, SORTED_ROWS = 1000, 20_000
     fields: str
     kept: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        rows = T.ArrayType(_fields(self.fields))
-        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("slot", T.LongType())]),
-                                          T.StructType([T.StructField("rows", rows)]))
+        self.waiting = handle.getMapState("waiting", _fields("first long, last long, run string"), _fields("rows string"))
         self.state = handle.getValueState("state", _fields(self.kept))
 
-    def step(self, state: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[tuple], int | None]:
-        """(new state, output rows, microsecond from which the state means nothing)."""
+    def step(self, state: tuple | None, rows: list[tuple]) -> tuple[tuple | None, list[tuple]]:
+        """(new state, output rows) for the rows of one slot."""
+        raise NotImplementedError
+
+    def until(self, state: tuple) -> int | None:
+        """Microsecond from which the state means nothing."""
         raise NotImplementedError
 
     def output(self, key: Any, found: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
 
+    def _slot_end(self, t: int) -> int:
+        return (t // (self.SLOT_MS * 1000) + 1) * self.SLOT_MS
+
+    def _wait(self, rows: list[tuple]) -> int:
+        """Puts rows into the state and returns the earliest time."""
+        rows = _sorted(rows)
+        for i in range(0, len(rows), self.RUN_ROWS):
+            run = rows[i:i + self.RUN_ROWS]
+            self.waiting.updateValue((run[0][0], run[-1][0], uuid.uuid4().hex), (json.dumps(run),))
+        return rows[0][0]
+
+    def _due(self, runs: list[tuple], edge: int) -> Iterator[list[tuple]]:
+        """The rows before ``edge`` in order, as lists that share no slot; the runs' other rows go on waiting."""
+        slot_us, pool, kept = self.SLOT_MS * 1000, [], 0
+        for run, after in zip(runs, [*(r[0] for r in runs[1:]), None]):
+            pool += map(tuple, json.loads(self.waiting.getValue(run)[0]))
+            self.waiting.removeKey(run)
+            if after is not None and len(pool) < 2 * kept + self.RUN_ROWS:
+                continue
+            pool = _sorted(pool)
+            cut = bisect_left(pool, edge if after is None else after // slot_us * slot_us, key=itemgetter(0))
+            if cut:
+                yield pool[:cut]
+            pool = pool[cut:]
+            kept = len(pool)
+        if pool:
+            self.later.append(self._wait(pool))
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        names = _fields(self.fields).names
+        schema = _fields(self.fields)
+        whole = {f.name for f in schema if f.dataType != T.StringType()}
+        firsts, more = [], []
         for pdf in rows:
-            slots = pdf["t"] // (self.SLOT_MS * 1000)
-            for slot, part in pdf.groupby(slots):
-                at = (int(slot),)
-                more = list(zip(*(part[n].tolist() for n in names)))
-                known = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else []
-                self.waiting.updateValue(at, ([*map(tuple, known), *more],))
-                self.handle.registerTimer((at[0] + 1) * self.SLOT_MS)
+            # a column of whole numbers and nulls comes as floats
+            columns = ([None if v is None or v != v else int(v) for v in pdf[n].tolist()] if n in whole else pdf[n].tolist() for n in schema.names)
+            more += zip(*columns)
+            if len(more) >= self.SORTED_ROWS:
+                firsts.append(self._wait(more))
+                more = []
+        if more:
+            firsts.append(self._wait(more))
+        self.handle.registerTimer(self._slot_end(min(firsts)))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        at = (now // self.SLOT_MS - 1,)
-        if not self.waiting.containsKey(at):  # a timer for the state alone
-            rows = []
-        else:
-            rows = sorted(map(tuple, self.waiting.getValue(at)[0]))
-            self.waiting.removeKey(at)
-        state = tuple(self.state.get()) if self.state.exists() else None
-        state, found, until = self.step(state, rows)
-        if state is not None and (until is None or until > now * 1000):
-            self.state.update(state)
+        slot_us = self.SLOT_MS * 1000
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() // self.SLOT_MS * self.SLOT_MS)
+        edge = now * 1000
+        runs = sorted(self.waiting.keys())
+        due = [r for r in runs if r[0] < edge]
+        self.later = [r[0] for r in runs[len(due):]]
+        state = before = self.state.get()
+        state = None if state is None else tuple(state)
+        for rows in self._due(due, edge):
+            found = []
+            for slot, part in groupby(rows, lambda r: r[0] // slot_us):
+                if state is not None and self._over(state, slot * slot_us):
+                    state = None
+                state, more = self.step(state, list(part))
+                found += more
+            if found:
+                yield self.output(key, found)
+        if state is not None and self._over(state, edge):
+            state = None
+        if state is not None:
+            if due:
+                self.state.update(state)
+            until = self.until(state)
             if until is not None:
-                self.handle.registerTimer(-(-until // (self.SLOT_MS * 1000)) * self.SLOT_MS)
-        elif self.state.exists():
+                self.handle.registerTimer(-(-until // slot_us) * self.SLOT_MS)
+        elif before is not None:
             self.state.clear()
-        if found:
-            yield self.output(key, found)
+        if self.later:
+            self.handle.registerTimer(self._slot_end(min(self.later)))
+
+    def _over(self, state: tuple, at: int) -> bool:
+        until = self.until(state)
+        return until is not None and until <= at
 
     def close(self) -> None:
         pass
 
 
+def _sorted(rows: list[tuple]) -> list[tuple]:
+    """Rows in the order of all their fields, nulls first."""
+    try:
+        return sorted(rows)
+    except TypeError:  # a null beside a value
+        return sorted(rows, key=lambda row: [(v is not None, v) if v is not None else (False,) for v in row])
+
+
 def _in_order(rows: DataFrame, ts: str, processor: InOrder, out: str) -> DataFrame:
     """``rows`` (key, the processor's fields, ``ts`` with a watermark) through the processor."""
     return rows.where(F.col(ts) < F.lit(END)).groupBy("key").transformWithStateInPandas(
@@ -209,7 +276,10 @@ class _Lookups(InOrder):
             if until is None or t >= until:
                 found.append((i,))
                 until = t + ttl
-        return (until,) if until is not None else None, found, until
+        return (until,) if until is not None else None, found
+
+    def until(self, state):
+        return state[0]
 
     def output(self, key, found):
         return pd.DataFrame({"key": [key[0]] * len(found), "event_id": [f[0] for f in found]})
@@ -251,8 +321,10 @@ class _Navigation(InOrder):
                 if kind == "commit" or at != seen:
                     commit, url, host = i, to, at
                 seen = at
-        until = None if self.idle_us is None else last + self.idle_us
-        return None if commit is None and seen is None else (commit, url, host, seen, last), found, until
+        return None if commit is None and seen is None else (commit, url, host, seen, last), found
+
+    def until(self, state):
+        return None if self.idle_us is None else state[4] + self.idle_us
 
     def output(self, key, found):
         return pd.DataFrame({"tab_id": [key[0]] * len(found), "commit_id": [f[0] for f in found],
@@ -290,7 +362,10 @@ class _Fresh(InOrder):
                 seen = t
             else:
                 found.append((i, seen is not None and t - seen < self.age_us))
-        return (seen,) if seen is not None else None, found, None if seen is None else seen + self.age_us
+        return (seen,) if seen is not None else None, found
+
+    def until(self, state):
+        return state[0] + self.age_us
 
     def output(self, key, found):
         return pd.DataFrame({"key": [key[0]] * len(found), "event_id": [f[0] for f in found], "fresh": [f[1] for f in found]})
