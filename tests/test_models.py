@@ -238,3 +238,26 @@ def test_oversampling_uses_one_method_at_any_size(spark):
         made = learning.oversample(df, continuous=["a", "b"], categorical=["tld"]).where("synthetic").collect()
         assert len(made) == 10 * n - n
         assert all((r["tld"] == "xyz") == (r["a"] >= 100) and (0 <= r["a"] <= 9 or 100 <= r["a"] <= 109) for r in made)
+
+
+def counted(spark, rows, schema):
+    """The rows, and a counter of how often one of them was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+
+    return spark.createDataFrame(rows, schema).withColumn("score", F.udf(same, "double")("score")), seen
+
+
+def test_oversampling_and_exact_split_compute_their_input_once(spark):
+    rows = [(f"k{i}", float(i % 50) / 50, i % 5, "ab"[i % 2], int(i % 20 == 0)) for i in range(600)]
+    schema = "domain string, score double, fold int, kind string, label int"
+    df, seen = counted(spark, rows, schema)
+    made = learning.oversample(df, continuous=["score", "fold"], categorical=["kind"])
+    got = {(r["label"], r["synthetic"]): r["n"] for r in made.groupBy("label", "synthetic").agg(F.count("*").alias("n"), F.sum("score")).collect()}
+    assert got == {(0, False): 570, (1, False): 30, (1, True): 255} and seen.value == 600
+    df, seen = counted(spark, rows, schema)
+    split = learning.exact_split(df, 0.2, "s")
+    assert split.agg(F.count_if("is_test"), F.sum("score")).first()[0] == 120 and seen.value == 600
