@@ -91,3 +91,20 @@ def test_csv_rows_are_numbered_in_file_order(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
     assert numbers == {d: i for i, d in enumerate(sorted(f"d{i}" for i in range(5000)))}
+
+
+def test_training_rows_compute_the_hosts_once(spark, folder, monkeypatch):
+    from wardlight.plans import learning as plans
+
+    seen, plain = spark.sparkContext.accumulator(0), plans.assembled
+
+    def counted(*args, **options):
+        def same(x):
+            seen.add(1)
+            return x
+
+        return plain(*args, **options).withColumn("row_id", F.udf(same, "long")("row_id"))
+
+    monkeypatch.setattr(plans, "assembled", counted)
+    rows = plans.training_rows(spark, folder)
+    assert rows.count() == seen.value == plain(spark, folder).count()
