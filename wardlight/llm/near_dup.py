@@ -24,6 +24,10 @@ CENTRES = (3, 5, 8, 13, 21)
 #: Neighbours of a document confirmed in the first round, the likeliest first.
 FIRST = 4
 ROWS_PER_RANGE = 200_000
+#: Text whose shingles a task holds at once; they take about forty times as much while they are made.
+SLICE = 1 << 20
+#: Rows of a region whose bytes are counted at once.
+COUNTED = 10_000
 #: Bits of the filter that keeps texts nobody asks for out of a shuffle, and bits a row of it.
 FILTER_BITS, ROW_BITS = 1 << 24, 1 << 15
 #: Hash buckets in which the shingles of crowded rows are counted, and buckets a row of their table.
@@ -73,7 +77,7 @@ def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """(key, n, f1, f2, sketch): the set's size, a 128-bit fingerprint, HASHES MinHash bytes."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE):
             n, shingles = shingle_sets(batch["text"], size)
             full = np.flatnonzero(n)
             at = np.cumsum(n[full]) - n[full]
@@ -142,7 +146,9 @@ def neighbours(ids: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, roots: np
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if high - low > REACH + 1:
                 block = sketch[low:high]
-                counts = np.bincount((block + 256 * np.arange(block.shape[1])).ravel(), minlength=256 * block.shape[1])
+                place = 256 * np.arange(block.shape[1])
+                counts = sum(np.bincount((block[i:i + COUNTED] + place).ravel(), minlength=256 * block.shape[1])
+                             for i in range(0, len(block), COUNTED))
                 commonest = counts.reshape(-1, 256).argmax(1)
                 centre = int((block == commonest).sum(1).argmax())
                 same = (block == block[centre]).sum(1)
@@ -279,7 +285,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(sliced(batches, "left"), "right"):
+        for batch in sliced(sliced(batches, "left", SLICE), "right", SLICE):
             (n, x), (m, y) = shingle_sets(batch["left"], size), shingle_sets(batch["right"], size)
             ex, ey = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(m))
             good = np.zeros(batch.num_rows, bool)
@@ -298,7 +304,7 @@ def _bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
     """How many shingles of ``texts`` fall in each of ``BUCKETS``; as large as that whatever the input."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE):
             _, shingles = shingle_sets(batch["text"], size)
             bucket, n = np.unique(shingles >> np.uint64(64 - BUCKET_BITS), return_counts=True)
             counts[bucket.astype(np.int64)] += n
@@ -336,7 +342,7 @@ def unmet(texts: DataFrame, size: int, percent: int) -> DataFrame:
     given = spark.sparkContext.broadcast(_bucket_counts(texts, size))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE):
             n, shingles = shingle_sets(batch["text"], size)
             count = given.value[(shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             row = np.repeat(np.arange(len(n)), n)
